@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import NUMBER, written_number
+from ..functions.numbers import NUMBER
+from ..functions.units import number as plain_number
 from ..sources.tables import cut
 from .set_reconcile import differing_keys
 
 #: Numbers differ if they are further apart than this; the second part absorbs binary rounding of decimal figures.
 TOLERANCE = 0.01 + 1e-6
+_LEADING = re.compile(rf"\s*[-−+]?{NUMBER}")
 
 
 def _canonical(name: str, kind: T.DataType) -> Column:
@@ -80,8 +84,13 @@ def diff_maps(rows: DataFrame, key: str, left_map: str, right_map: str, version:
 
     number = lambda v: [(v.cast("double") + F.lit(0.0)).alias("num"), F.lit(None).cast("string").alias("txt")]
 
+    @F.pandas_udf("double")
+    def figure(texts: pd.Series) -> pd.Series:
+        found = (_LEADING.match(t) if t else None for t in texts)
+        return pd.Series([plain_number(m[0]) if m else None for m in found], dtype="float64")
+
     def text(v: Column) -> list[Column]:
-        n = written_number(F.regexp_extract(F.trim(v), rf"^([-−+]?{NUMBER})", 1))
+        n = figure(v)
         return [n.alias("num"), F.when(n.isNull() & (F.trim(v) != ""), F.trim(v)).alias("txt")]
 
     a, b = entries("l", number), entries("r", text)
