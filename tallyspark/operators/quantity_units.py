@@ -160,7 +160,7 @@ class UnitModel:
         p = vector_to_array("probability")
         out = out.withColumn("p_all", p).withColumn("p_top", F.array_max("p_all"))
         names = F.array(*(F.lit(u) for u in UNIT_NAMES))
-        kinds = [F.aggregate(F.array(*(F.col("p_all")[i] for i, (_, k, _, _) in enumerate(UNITS) if k == kind)), F.lit(0.0), lambda a, x: a + x) for kind in KINDS]
+        kinds = [F.aggregate(F.array(*(F.coalesce(F.get("p_all", F.lit(i)), F.lit(0.0)) for i, (_, k, _, _) in enumerate(UNITS) if k == kind)), F.lit(0.0), lambda a, x: a + x) for kind in KINDS]
         best = F.array_max(F.array(*(F.struct(s.alias("s"), F.lit(k).alias("k")) for s, k in zip(kinds, KINDS))))
         sure = F.lit(self.sure[-1])
         for x, y in list(zip(self.raw, self.sure))[-2::-1]:
