@@ -38,3 +38,17 @@ def test_empty_sides(spark):
     rows = linkage.row_records(spark.createDataFrame([(1, "A 100", None, None, 1.0, None, None, None, None, False, "x")], ROW))
     assert linkage.link(rows, items).count() == 0
     assert linkage.link(rows.where(F.lit(False)), items).count() == 0
+
+
+def test_each_figure_is_a_key_of_its_own(spark):
+    items = [(1, "NORVIK 210", None, None, None, 301.0, 7.5, 2257.5, 88.4, 95.2), (2, "NORVIK 210", None, None, None, 777.0, 9.5, 7381.5, 140.2, 151.9)]
+    rows = [
+        (1, "NORVIK 210", None, None, 640.0, None, None, 88.0, None, False, "net below 200 alone"),
+        (2, "NORVIK 210", None, None, 640.0, None, None, None, 95.0, False, "gross alone"),
+        (3, None, None, None, 301.0, None, None, 88.4, 33.0, False, "wrong gross beside right quantity and net"),
+        (4, "NORVIK 210", None, None, 301.03, None, None, None, None, False, "quantity a little off, no price"),
+        (5, None, None, None, None, None, 2257.5, None, 95.2, False, "amount and gross"),
+    ]
+    theirs = linkage.item_records(spark.createDataFrame(items, ITEM))
+    pairs = linkage._second_pass(linkage.row_records(spark.createDataFrame(rows, ROW)), theirs).collect()
+    assert sorted((r.rid, r.item_id) for r in pairs) == [(i, 1) for i in range(1, 6)]
