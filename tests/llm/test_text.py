@@ -132,3 +132,18 @@ def test_mojibake():
     assert d.repair(lines[1].encode("cp1251").decode("koi8-r"))[:2] == (True, lines[1])
     assert d.repair("lost � here")[0]
     assert d.repair("")[0] is False
+
+
+def test_every_garbled_run_of_a_line_is_restored():
+    from collections import Counter
+
+    words, rare = ["снабжён", "этикеткой", "указанием", "предназначена", "портьер"], "Öl"
+    pairs, singles = Counter(), Counter()
+    for word in words + [rare]:
+        s = f" {word} "
+        pairs.update({p: 200 for p in zip(s, s[1:])})
+        singles.update({c: 200 for c in s[1:]})
+    d = mojibake.Detector(mojibake.CharModel(dict(pairs), dict(singles)), 6.0)
+    parts = [words[i % 5] for i in range(12)]
+    bad = f" {rare} ".join(w.encode().decode("latin-1") for w in parts)
+    assert d.repair(bad)[:2] == (True, f" {rare} ".join(parts))
