@@ -105,6 +105,66 @@ def best_match(base: DataFrame, other: DataFrame, block: list[str], base_id: str
     return scored.groupBy(*block).applyInPandas(claim, schema)
 
 
+def _norm(text: str | None) -> str:
+    return "".join(c for c in text.lower() if c.isalnum()) if isinstance(text, str) else ""
+
+
+def _anchors(vendor: str | None, model: str | None, description: str | None) -> tuple[str, str, str]:
+    """Vendor code (with a digit), model and first 48 signs of the description; "" for none."""
+    v, m = _norm(vendor), _norm(model)
+    return (v if v != "na" and any(c.isdigit() for c in v) else "", m if m not in ("na", "отсутствует") else "", _norm(description)[:48])
+
+
+def claim_lines(base: list[tuple], other: list[tuple], least: int = 60) -> list[tuple]:
+    """(base id, other id, score): in order each base line takes the first of its best free partners.
+
+    Lines are (id, vendor, model, description, pieces) in order. Vendor code 100, model 80, description equal 70 or
+    beginning alike 55, pieces equal 40, different -30. Free partners wait in queues by what they share with a base line, so
+    that a line looks at the heads of a bounded number of queues, never at all pairs.
+    """
+    left, right = ([(i, *_anchors(v, m, d), None if p is None or p != p else round(p * 100)) for i, v, m, d, p in x] for x in (base, other))
+    short = {len(x[3]) for x in left if 0 < len(x[3]) < 24}
+    lengths = sorted({min(24, len(x[3])) for x in right if x[3]})
+    queues: dict[tuple, list[int]] = {}
+    for at, (_, v, m, d, p) in enumerate(right):
+        begins = [("=", d), ("24", d[:24]), *(("<", d[:n]) for n in short if len(d) >= n)] if d else []
+        for key in ((a, b, c, e) for a in {"", v} for b in {"", m} for c in [("", ""), *begins] for e in ("any", p) if a or b or c[1]):
+            queues.setdefault(key, []).append(at)
+    for q in queues.values():
+        q.reverse()
+    used, out = set(), []
+    for i, v, m, d, p in left:
+        begins = [(0, ("", ""))] + ([(70, ("=", d))] + [(55, ("24", d[:n])) for n in lengths if n <= len(d)] + [(55, ("<", d))] * (len(d) < 24) if d else [])
+        pieces = [(0, "any")] if p is None else [(40, p), (0, None), (-30, "any")]
+        tries = ((100 * bool(a) + 80 * bool(b) + s + t, (a, b, c, e)) for a in {"", v} for b in {"", m} for s, c in begins for t, e in pieces)
+        best = None
+        for score, key in tries:
+            q = queues.get(key) if score >= least else None
+            while q and q[-1] in used:
+                q.pop()
+            if q and (best is None or (-score, q[-1]) < best):
+                best = (-score, q[-1])
+        if best:
+            used.add(best[1])
+            out.append((i, right[best[1]][0], -best[0]))
+    return out
+
+
+def match_lines(lines: DataFrame) -> DataFrame:
+    """(line_id, packing_line_id, score) by claim_lines in line_id order; lines: line_id, vendor, model, description, pieces, pack.
+
+    Anchors of different kinds tie nearly all lines together and each claim depends on those before, so one task claims;
+    its time and memory grow with the lines, not with their pairs.
+    """
+
+    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_id")
+        sides = [[tuple(r) for r in pdf.loc[pdf["pack"] == s, ["line_id", "vendor", "model", "description", "pieces"]].itertuples(index=False)] for s in (False, True)]
+        return pd.DataFrame(claim_lines(*sides), columns=["line_id", "packing_line_id", "score"])
+
+    return lines.groupBy().applyInPandas(claim, "line_id bigint, packing_line_id bigint, score int")
+
+
 def with_totals(rows: DataFrame, levels: list[str], sums: list[str], digits: int = 2) -> DataFrame:
     """Sums at every level from the single group to the grand total (level: number of grouped columns), exact in decimals."""
     return rows.rollup(*levels).agg((F.lit(len(levels)) - F.size(F.filter(F.array(*(F.grouping(c) for c in levels)), lambda g: g == 1))).alias("level"), *(F.round(F.sum(F.col(s).cast("decimal(18,4)")), digits).cast("double").alias(s) for s in sums))

@@ -205,11 +205,9 @@ def j13_drop_prefix_parents(spark, sf_dir):
 
 @query()
 def j7_best_match(spark, sf_dir):
-    """Lines of draft papers matched one to one to lines of packing papers by article, code and pieces; no SQL for the greedy claim."""
-    lines = table(spark, sf_dir, "doc_lines").where("not freight and model is not null").select("line_id", K.match_key(F.col("model")).alias("k"), F.substring(K.code_digits(F.col("hs")), 1, 6).alias("code"), "pieces", F.col("source").startswith("PL").alias("pack")).where("k is not null and code is not null").dropDuplicates(["line_id"])
-    score = F.lit(60) + F.when(F.col("l_pieces") == F.col("r_pieces"), 40).when(F.col("l_pieces").isNotNull() & F.col("r_pieces").isNotNull(), -30).otherwise(0)
-    base, other = (lines.where(c).select("line_id", "k", "code", F.coalesce("pieces", F.lit(-1.0)).alias("pc"), "pieces") for c in ("not pack", "pack"))
-    return L.best_match(base, other, ["k", "code", "pc"], "line_id", "line_id", score, 60).select(F.col("l_line_id").alias("line_id"), F.col("r_line_id").alias("packing_line_id"), "score")
+    """Lines of draft papers matched one to one to lines of packing papers by vendor code, model, description and pieces; no SQL for the greedy claim."""
+    lines = table(spark, sf_dir, "doc_lines").where("line_id is not null and source is not null and not coalesce(freight, false)").dropDuplicates(["line_id"])
+    return L.match_lines(lines.select("line_id", "vendor", "model", "description", "pieces", F.col("source").startswith("PL").alias("pack")))
 
 
 _SCAN = "(SELECT kit_id, k, {agg}(CAST(qty AS DECIMAL(18,4))) AS q FROM {src} WHERE role = '{role}' AND k IS NOT NULL AND qty IS NOT NULL GROUP BY 1, 2)"

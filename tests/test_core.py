@@ -141,3 +141,27 @@ def test_best_match_is_one_to_one(spark):
     score = F.lit(60) + F.when(F.col("l_n") == F.col("r_n"), 40).otherwise(-30)
     got = {(r.l_id, r.r_id) for r in lots.best_match(df, df, ["code"], "id", "id", score, 60).collect()}
     assert got == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_lines_claim_as_all_pairs_would(spark):
+    rng = random.Random(3)
+    lines = [(i, rng.choice(["A 17", "Maker", None]), rng.choice(["M-1", "m 2", "na", None]), rng.choice(["lining fabric", "lining fabric navy", "lining", "jacquard fabric of many colours, navy", "jacquard fabric of many colours, sand", None]), rng.choice([None, None, 5.0, 7.0])) for i in range(160)]
+    for n in (20, 80, 130):
+        want, used = [], set()
+        for i, *x in lines[:n]:
+            best, at = 0, None
+            for j, *y in lines[n:]:
+                (lv, lm, ld), (rv, rm, rd) = lots._anchors(*x[:3]), lots._anchors(*y[:3])
+                score = 100 * (lv == rv != "") + 80 * (lm == rm != "")
+                if ld and rd:
+                    score += 70 if ld == rd else 55 * (ld.startswith(rd[:24]) or rd.startswith(ld[:24]))
+                if x[3] is not None and y[3] is not None:
+                    score += 40 if x[3] == y[3] else -30
+                if j not in used and score > best:
+                    best, at = score, j
+            if best >= 60:
+                used.add(at)
+                want.append((i, at, best))
+        assert lots.claim_lines(lines[:n], lines[n:]) == want
+    df = spark.createDataFrame([(1, None, "M 1", "x", None, False), (2, None, "M1", "y", 5.0, True), (3, None, None, "Lining", None, False), (4, None, "Z", "lining", None, True)], "line_id bigint, vendor string, model string, description string, pieces double, pack boolean")
+    assert {tuple(r) for r in lots.match_lines(df).collect()} == {(1, 2, 80), (3, 4, 70)}
