@@ -31,6 +31,7 @@ _COLUMNS = ["record_kind", "record_id", "value", "unit", "others"]
 FEATURES = ["f_value", "f_scale", "f_net", "f_gross", "f_packs", "f_chapter", "f_heading", "f_source", "f_currency", "f_record"]
 UNKNOWN = -99.0
 _COLUMNS += FEATURES
+_NO_FEATURES = (UNKNOWN,) * len(FEATURES)
 
 
 _OTHERS = "array<struct<kind: string, value: double, unit: string, stated: boolean>>"
@@ -70,10 +71,11 @@ def _stated(x) -> tuple[float | None, str | None]:
     return quantity(x) if isinstance(x, str) else (_number(x), None)
 
 
-def line_statements(lines: DataFrame) -> DataFrame:
+def line_statements(lines: DataFrame, every_feature: bool = True) -> DataFrame:
     """Each line's statements: the main one from qty_text, the other from the entry of extra that isn't a note, else from pieces.
 
-    Arrow batches in, one narrow row out for each line with an id; nothing is shuffled.
+    Arrow batches in, one narrow row out for each line with an id; nothing is shuffled. Without `every_feature` the
+    model's features are made only for statements that lack a unit.
     """
     columns = ["line_id", "qty_text", "extra", "pieces", "price", "amount", "net", "gross", "packages", "hs", "source"]
 
@@ -89,7 +91,8 @@ def line_statements(lines: DataFrame) -> DataFrame:
                 else:
                     other = ("count", pieces, None)
                 others = [(other[0], other[1], other[2] or COMMON[other[0]], other[2] is not None)] if other[1] is not None else []
-                out.append(("line", line, value, unit, others, *_features(value, price, amount, net, gross, packs, rest[6], re.match(r"[^\W\d]*", rest[7] or "")[0], None, 0)))
+                plain = every_feature or unit is None
+                out.append(("line", line, value, unit, others, *(_features(value, price, amount, net, gross, packs, rest[6], re.match(r"[^\W\d]*", rest[7] or "")[0], None, 0) if plain else _NO_FEATURES)))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     return lines.where("line_id is not null").select(*columns).mapInPandas(run, _SCHEMA)
@@ -103,7 +106,7 @@ def _json(text) -> dict:
     return got if isinstance(got, dict) else {}
 
 
-def item_statements(items: DataFrame) -> DataFrame:
+def item_statements(items: DataFrame, every_feature: bool = True) -> DataFrame:
     """Each item's statements: the main one is qty of commercial_data, the others what packing_data has for each kind.
 
     A unit in the text counts before the unit key, that before the one in the noted heading. Broken or empty JSON has no
@@ -115,7 +118,7 @@ def item_statements(items: DataFrame) -> DataFrame:
         for pdf in frames:
             out = []
             for item, *texts in zip(*(pdf[c] for c in columns)):
-                com, pack, customs = map(_json, texts)
+                com, pack = _json(texts[0]), _json(texts[1])
                 value, unit = _stated(com.get("qty"))
                 unit = unit or unit_of(com.get("unit")) or unit_in_header(com.get("qty_header"))
                 others = []
@@ -124,6 +127,10 @@ def item_statements(items: DataFrame) -> DataFrame:
                     if v is not None:
                         u = u or unit_of(pack.get(f"{key}_unit"))
                         others.append((kind, v, u or COMMON[kind], u is not None))
+                if not every_feature and unit is not None:
+                    out.append(("item", item, value, unit, others, *_NO_FEATURES))
+                    continue
+                customs = _json(texts[2])
                 net = next((v * SIZE[u] for k, v, u, _ in others if k == "weight"), None)
                 out.append(("item", item, value, unit, others, *_features(value, _number(com.get("price")), _number(com.get("amount")), net, _number(pack.get("gross_weight")), _number(pack.get("rolls")), customs.get("hs_code"), None, com.get("currency"), 1)))
             yield pd.DataFrame(out, columns=_COLUMNS)
@@ -183,11 +190,25 @@ def _isotonic(raw: np.ndarray, right: np.ndarray, steps: int = 12) -> tuple[list
     return [m[0] for m in merged], [(m[1] + 0.5) / (m[2] + 1) for m in merged]
 
 
-def train(statements: DataFrame, sample: int = 20000, trees: int = 20, depth: int = 12, seed: int = 5) -> UnitModel:
-    """The model from statements with a stated unit, on a hash-ordered sample of at most `sample` rows, a fifth held out."""
+def in_sample(*key: Column | str, share: float) -> Column:
+    """Whether a record is among the `share` of all records, by the hash of its key, that the model is fitted on."""
+    return F.pmod(F.xxhash64(F.lit(71), *key), F.lit(1 << 20)) < int(share * (1 << 20))
+
+
+def sample_share(rows: int, sample: int = 20000) -> float:
+    """The share that gives about `sample` of `rows` records, half of them at most, so that some are left to measure on."""
+    return min(0.5, sample / max(rows, 1))
+
+
+def train(statements: DataFrame, trees: int = 20, depth: int = 12, seed: int = 5) -> UnitModel:
+    """The model from statements with a stated unit, a fifth of them held out of the forest for its calibration.
+
+    All of `statements` come to the driver, so pass the records of a bounded sample (`in_sample`, filtered before they
+    are parsed). Too few or all of one unit give a model that predicts nothing.
+    """
     labels = F.create_map(*(F.lit(x) for kv in ((u, float(i)) for i, u in enumerate(UNIT_NAMES)) for x in kv))
     known = statements.where("unit is not null and value is not null").select(*FEATURES, F.element_at(labels, F.col("unit")).alias("label"), F.xxhash64("record_kind", "record_id").alias("h"))
-    rows = known.orderBy("h", *FEATURES).limit(sample).toPandas()
+    rows = known.toPandas().sort_values(["h", *FEATURES], ignore_index=True)
     if len(rows) < 50 or rows.label.nunique() < 2:
         return UnitModel(None, [], [])
     spark = statements.sparkSession
@@ -199,6 +220,18 @@ def train(statements: DataFrame, sample: int = 20000, trees: int = 20, depth: in
     return UnitModel(forest, *_isotonic(test.p.to_numpy(), (test.label == test.prediction).to_numpy(float)))
 
 
+def masked(statements: DataFrame, model: UnitModel, least: float = 0.9) -> DataFrame:
+    """Statements with their stated unit hidden and predicted: (record_kind, record_id, value, stated_unit, unit, common_value, sure, review).
+
+    Pass statements that the model wasn't fitted or calibrated on. common_value is null for those less sure than `least`,
+    which are for review.
+    """
+    hidden = statements.where("unit is not null and value is not null").withColumn("stated_unit", F.col("unit"))
+    out = model.predict(hidden)
+    sure = F.coalesce(F.col("p_sure") >= least, F.lit(False))
+    return out.select("record_kind", "record_id", "value", "stated_unit", F.col("p_unit").alias("unit"), F.when(sure, F.col("value") * size_of(F.col("p_unit"))).alias("common_value"), F.col("p_sure").alias("sure"), (~sure).alias("review")).distinct()
+
+
 def resolve(statements: DataFrame, model: UnitModel, least: float = 0.9) -> DataFrame:
     """Every main statement in its common unit: (record_kind, record_id, value, unit, how, common_value, common_unit, sure, review, others).
 

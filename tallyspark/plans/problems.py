@@ -8,22 +8,43 @@ from ..operators import copy_diff, quantity_units
 from ..sources.tables import table
 
 
-def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = quantity_units.line_statements(table(spark, sf_dir, "doc_lines"))
-    return lines.unionByName(quantity_units.item_statements(table(spark, sf_dir, "reconciled_items")))
+#: About how many records the model of missing units is fitted on; the bound of what comes to the driver.
+SAMPLE = 20000
+
+
+def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
+    """Lines, items, and the share of both that the model of missing units is fitted on."""
+    lines, items = table(spark, sf_dir, "doc_lines"), table(spark, sf_dir, "reconciled_items")
+    return lines, items, quantity_units.sample_share(lines.count() + items.count(), SAMPLE)
+
+
+def _statements(lines: DataFrame, items: DataFrame, every_feature: bool = True) -> DataFrame:
+    return quantity_units.line_statements(lines, every_feature).unionByName(quantity_units.item_statements(items, every_feature))
+
+
+def _model(lines: DataFrame, items: DataFrame, share: float) -> quantity_units.UnitModel:
+    """Only the sampled records are parsed; each counts once, however often it was delivered."""
+    some = [x.where(quantity_units.in_sample(i, share=share)).dropDuplicates([i]) for x, i in ((lines, "line_id"), (items, "recon_id"))]
+    return quantity_units.train(_statements(*some))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that state one quantity twice, in two different units or scales, and agree."""
-    statements = _statements(spark, sf_dir)
-    model = quantity_units.train(statements)
-    return quantity_units.stated_twice(quantity_units.resolve(statements, model))
+    lines, items, share = _units(spark, sf_dir)
+    return quantity_units.stated_twice(quantity_units.resolve(_statements(lines, items, False), _model(lines, items, share)))
 
 
 def p1_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every statement of a quantity in metres, square metres, kilograms, cubic metres or pieces."""
-    statements = _statements(spark, sf_dir)
-    return quantity_units.every_quantity(statements, quantity_units.train(statements))
+    lines, items, share = _units(spark, sf_dir)
+    return quantity_units.every_quantity(_statements(lines, items), _model(lines, items, share))
+
+
+def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units predicted for the statements outside the model's sample, as if they were missing, beside those stated."""
+    lines, items, share = _units(spark, sf_dir)
+    others = [x.where(~quantity_units.in_sample(i, share=share)) for x, i in ((lines, "line_id"), (items, "recon_id"))]
+    return quantity_units.masked(_statements(*others), _model(lines, items, share))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +54,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_diff.all_differences({"kit": kit, "item": item})
 
 
-QUERIES = {"p1_found": p1_found, "p1_quantities": p1_quantities, "p2_found": p2_found}
+QUERIES = {"p1_found": p1_found, "p1_quantities": p1_quantities, "p1_masked": p1_masked, "p2_found": p2_found}
 
 _TEXTS = ("article", "item_key", "color", "description", "hs_code", "unit", "currency", "manufacturer", "country")
 _NUMBERS = ("qty", "price", "amount", "net_weight", "gross_weight")

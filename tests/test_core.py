@@ -114,7 +114,15 @@ def test_units_found_and_predicted(spark):
     found = {tuple(r) for r in quantity_units.stated_twice(quantity_units.resolve(both, model)).collect()}
     assert found == {("line", i) for i in range(400) if i % 4 in (1, 3)} | {("item", i) for i in range(400)}
     assert quantity_units.every_quantity(both, model).where("how = 'stated' and common_value is null").count() == 0
+    hidden = quantity_units.masked(both, model).collect()
+    sure = [r for r in hidden if not r.review]
+    assert len(hidden) == 800 and len(sure) > 400
+    assert sum(r.unit == r.stated_unit for r in sure) > 0.9 * len(sure)
+    assert all((r.common_value is None) == r.review for r in hidden)
+    lean = quantity_units.line_statements(spark.createDataFrame(lines, schema), False)
+    assert lean.drop(*quantity_units.FEATURES).exceptAll(a.drop(*quantity_units.FEATURES)).count() == 0
     empty = quantity_units.train(both.limit(0))
+    assert quantity_units.masked(both.limit(5), empty).where("review").count() == 5
     assert quantity_units.resolve(both.limit(0), empty).count() == 0
 
 
