@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Letters that stand for one another in printed invoice and contract numbers.
-CYRILLIC_PRINT, LATIN_PRINT = "АВЕКМНОРСТУХаеорсух", "ABEKMHOPCTYXaeopcyx"
+CYRILLIC_PRINT, LATIN_PRINT = "АВЕКМНОРСТУХавекмнорстух", "ABEKMHOPCTYXabekmhopctyx"
 
 
 def empty_to_null(x: Column) -> Column:

@@ -68,18 +68,6 @@ def n3_lot_token(spark, sf_dir):
     return table(spark, sf_dir, "extracted_rows").select("row_id", K.lot_token(F.col("qty")).alias("token"))
 
 
-@query("SELECT k AS k, split_part(upper(article), ' ', 1) AS family, count(*) AS n FROM " + _KEYED + " WHERE k IS NOT NULL GROUP BY 1, 2")
-def n6_family(spark, sf_dir):
-    return _rows(spark, sf_dir).where("k is not null").groupBy("k", F.split_part(F.upper("article"), F.lit(" "), F.lit(1)).alias("family")).agg(F.count("*").alias("n"))
-
-
-both("n7_article_with_color", "SELECT item_id, CASE WHEN color IS NULL OR contains(upper(article), upper(color)) THEN article ELSE article || ' ' || color END AS label FROM {canonical_items}")
-both("n8_bilingual", "SELECT item_id, split_part(description, ' / ', 1) AS description_en, nullif(split_part(description, ' / ', 2), '') AS description_ru FROM {canonical_items}")
-
-
-@query(f"SELECT line_id, translate(model, '{K.CYRILLIC_PRINT}', '{K.LATIN_PRINT}') AS folded FROM doc_lines")
-def n10_fold_print(spark, sf_dir):
-    return table(spark, sf_dir, "doc_lines").select("line_id", K.fold_print(F.col("model")).alias("folded"))
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '\p{Cyrillic}') AS cyrillic, regexp_matches(text, '\p{Han}') AS han, regexp_matches(text, '[A-Za-z]') AS latin, regexp_matches(text, '\p{Arabic}') AS arabic FROM documents")
@@ -91,45 +79,12 @@ def n13_scripts(spark, sf_dir):
 _SPLIT = "(SELECT kit_id, attempt, e.key AS field, trim(e.value) AS t FROM (SELECT kit_id, attempt, unnest(map_entries(totals_etalon_hint)) AS e FROM kit_results))"
 
 
-@query(
-    r"SELECT kit_id, attempt, field, CASE WHEN regexp_matches(n, '[.,]\d\d\d$') OR NOT regexp_matches(n, '[.,]') THEN TRY_CAST(regexp_replace(n, '[.,]', '', 'g') AS DOUBLE) "
-    r"ELSE TRY_CAST(regexp_replace(regexp_extract(n, '^(.*)[.,]\d*$', 1), '[.,]', '', 'g') || '.' || regexp_extract(n, '[.,](\d*)$', 1) AS DOUBLE) END AS figure "
-    rf"FROM (SELECT *, regexp_replace(regexp_extract(t, '^-?[\d.,''’\s\x{{00a0}}\x{{202f}}\x{{2009}}]*\d'), '[\s\x{{00a0}}\x{{202f}}\x{{2009}}''’]', '', 'g') AS n FROM {_SPLIT})"
-)
-def m1_parse_number(spark, sf_dir):
-    e = table(spark, sf_dir, "kit_results").select("kit_id", "attempt", F.explode("totals_etalon_hint").alias("field", "t"))
-    return e.select("kit_id", "attempt", "field", written_number(F.regexp_extract(F.trim("t"), r"^-?[\d.,'’\s   ]*\d", 0)).alias("figure"))
-
-
-@query(r"SELECT line_id, CASE WHEN regexp_matches(d, '^[0-9]{6,13}$') THEN substr(d, 1, 13) END AS hs, CASE WHEN regexp_matches(d, '^[0-9]{6,13}$') THEN substr(d, 1, 10) END AS tnved FROM (SELECT line_id, regexp_replace(regexp_replace(trim(hs), '\.0$', ''), '[. ]', '', 'g') AS d FROM doc_lines)")
-def m4_m5_code_digits(spark, sf_dir):
-    return table(spark, sf_dir, "doc_lines").select("line_id", K.code_digits(F.col("hs")).alias("hs"), K.code_digits(F.col("hs"), 10).alias("tnved"))
-
-
 @query(r"SELECT line_id, CASE WHEN w BETWEEN 20 AND 500 THEN w / 100 ELSE w END AS width, CASE WHEN pieces > 0 AND w > 0 THEN CAST(round(CAST(pieces * CASE WHEN w > 20 THEN w / 100 ELSE w END AS DECIMAL(18,6)), 4) AS DOUBLE) END AS area FROM (SELECT line_id, pieces, TRY_CAST(nullif(regexp_extract(description, 'w (\d+)', 1), '') AS DOUBLE) AS w FROM doc_lines)")
 def m6_m7_width_area(spark, sf_dir):
     w = table(spark, sf_dir, "doc_lines").select("line_id", "pieces", F.regexp_extract("description", r"w (\d+)", 1).try_cast("double").alias("w"))
     return w.select("line_id", K.width_in_metres(F.col("w")).alias("width"), K.area(F.col("pieces"), F.col("w")).alias("area"))
 
 
-_ISO = "USD|EUR|CNY|RUB|TRY|PLN|GBP"
-@query(f"SELECT doc_id, CASE WHEN len(list_distinct(regexp_extract_all(text, '{_ISO}'))) = 1 THEN regexp_extract(text, '{_ISO}') END AS currency FROM documents")
-def m8_currency(spark, sf_dir):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({_ISO})"), F.lit(1)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(found) == 1, found[0]).alias("currency"))
-
-
-@query(r"SELECT line_id, list_sum(list_transform(regexp_extract_all(qty_text, '(\d+) (?:rolls|ctns|pkgs)', 1), lambda x: CAST(x AS BIGINT))) AS packages FROM doc_lines WHERE regexp_matches(qty_text, '\d+ (rolls|ctns|pkgs)')")
-def m12_package_count(spark, sf_dir):
-    found = F.regexp_extract_all("qty_text", F.lit(r"(\d+) (?:rolls|ctns|pkgs)"), F.lit(1))
-    lines = table(spark, sf_dir, "doc_lines").where(F.col("qty_text").rlike(r"\d+ (rolls|ctns|pkgs)"))
-    return lines.select("line_id", F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).cast("decimal(38,0)").cast("bigint").alias("packages"))
-
-
-ORACLE["m12_package_count"] = ORACLE["m12_package_count"].replace("list_sum(", "CAST(list_sum(", 1).replace(") AS packages", ") AS BIGINT) AS packages")
-both("m14_price_basis", "SELECT recon_id, coalesce(nullif(m, 0), nullif(a, 0), nullif(q, 0)) AS basis FROM (SELECT recon_id, try_cast(get_json_object(packing_data, '$.meters') AS DOUBLE) AS m, try_cast(get_json_object(packing_data, '$.area') AS DOUBLE) AS a, try_cast(get_json_object(commercial_data, '$.qty') AS DOUBLE) AS q FROM {reconciled_items})", "SELECT recon_id, coalesce(nullif(m, 0), nullif(a, 0), nullif(q, 0)) AS basis FROM (SELECT recon_id, TRY_CAST(packing_data->>'$.meters' AS DOUBLE) AS m, TRY_CAST(packing_data->>'$.area' AS DOUBLE) AS a, TRY_CAST(commercial_data->>'$.qty' AS DOUBLE) AS q FROM reconciled_items)")
-both("m15_amount_fill", "SELECT row_id, coalesce(amount, CAST(round(CAST(price * qty AS DECIMAL(24,6)), 2) AS DOUBLE)) AS amount, abs(amount - price * qty) > 0.03 * greatest(abs(amount), 1) AS mismatch FROM {extracted_rows} WHERE price IS NOT NULL")
-both("m16_amount_slip", "SELECT row_id, CASE WHEN abs(amount / (price * qty) - 10) <= 0.08 THEN amount / 10 WHEN abs(amount / (price * qty) - 100) <= 0.08 THEN amount / 100 WHEN abs(amount / (price * qty) - 0.1) <= 0.02 THEN amount * 10 ELSE amount END AS amount FROM {extracted_rows} WHERE price * qty > 0 AND amount IS NOT NULL")
 both("p14_plausible_article", "SELECT row_id, length(article) <= 60 AND NOT contains(article, ':') AND NOT contains(article, '@') AND length(article) - length(replace(article, ' ', '')) <= 5 AND article NOT IN ('-', '—', '--', 'n/a', '') AS plausible FROM {extracted_rows} WHERE article IS NOT NULL")
 both("p15_numeric_sanity", "SELECT count(*) AS n, count(CASE WHEN coalesce(qty, 0) < 1e9 AND coalesce(rolls, 0) < 1e9 AND coalesce(price, 0) < 1e9 AND coalesce(amount, 0) < 1e8 THEN 1 END) AS sane FROM {extracted_rows}")
 both("y7_edit_snapshot", "SELECT item_id, sha2(concat_ws('|', article, color, description, hs_code, unit), 256) AS snapshot FROM {canonical_items}", "SELECT item_id, sha256(concat_ws('|', article, color, description, hs_code, unit)) AS snapshot FROM canonical_items")
