@@ -224,7 +224,6 @@ def a7_rollup_totals(spark, sf_dir):
 
 
 both("a4_detail_sheets", "SELECT sheet_id, max(n) >= 3 AND sum(n) >= 2 * count(*) AS detail, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_articles FROM (SELECT sheet_id, article, count(*) AS n FROM {extracted_rows} WHERE article IS NOT NULL AND NOT is_group GROUP BY sheet_id, article) GROUP BY sheet_id")
-both("a21_column_stats", "SELECT sheet_id, avg(CASE WHEN regexp_like(article, '[0-9]') THEN 1 ELSE 0 END) AS with_digits, max(length(article)) AS longest, max(abs(price)) AS top_price, count(price) AS n_priced FROM {extracted_rows} GROUP BY sheet_id", "SELECT sheet_id, avg(CASE WHEN regexp_matches(article, '[0-9]') THEN 1 ELSE 0 END) AS with_digits, CAST(max(length(article)) AS INTEGER) AS longest, max(abs(price)) AS top_price, count(price) AS n_priced FROM extracted_rows GROUP BY sheet_id")
 both("a22_layout", "SELECT kit_id, count(hs_code) >= 0.6 * count(*) AS coded, count(color) <= 0.25 * count(*) AS plain, count(CASE WHEN unit = 'm' THEN 1 END) >= greatest(2, 0.3 * count(*)) AS fabric FROM {extracted_rows} WHERE NOT is_group GROUP BY kit_id")
 both("a23_profile", "SELECT kit_id, CASE WHEN count(DISTINCT role) >= 2 THEN 'many' ELSE 'single' END AS profile, count(DISTINCT sheet_id) AS sheets FROM {extracted_rows} GROUP BY kit_id")
 both("a24_status", "SELECT kit_id, CASE WHEN max(warning_count) > 0 THEN 'NEEDS_REVIEW' ELSE 'READY' END AS status, max(attempt) AS attempt FROM {kit_results} GROUP BY kit_id")
@@ -236,8 +235,6 @@ both("a29_document_summary", "SELECT source, count(*) AS n_lines, count(CASE WHE
 # --- order-dependent logic --------------------------------------------------------------------------------------------
 _SHEET = "PARTITION BY sheet_id ORDER BY row_no, row_id, loaded_at"
 both("w2_caption_segments", "SELECT sheet_id, segment, count(*) AS n_rows, CAST(sum(CAST(qty AS DECIMAL(18,4))) AS DOUBLE) AS qty FROM (SELECT sheet_id, qty, CAST(sum(CASE WHEN is_group THEN 1 ELSE 0 END) OVER (" + _SHEET + ") AS BIGINT) AS segment FROM {extracted_rows}) GROUP BY sheet_id, segment")
-both("w5_after_total", "SELECT row_id, loaded_at, coalesce(max(CASE WHEN lower(article) LIKE 'итого%' THEN 1 ELSE 0 END) OVER (" + _SHEET + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after_total FROM {extracted_rows}")
-both("w6_next_price", "SELECT row_id, loaded_at, coalesce(price, p) AS price FROM (SELECT row_id, loaded_at, price, first_value(price) IGNORE NULLS OVER (" + _SHEET + " ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM {extracted_rows})", "SELECT row_id, loaded_at, coalesce(price, p) AS price FROM (SELECT row_id, loaded_at, price, first_value(price IGNORE NULLS) OVER (" + _SHEET + " ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM extracted_rows)")
 both("w9_running_number", "SELECT row_id, loaded_at, CAST(row_number() OVER (" + _SHEET + ") AS INTEGER) AS no FROM {extracted_rows}")
 both("w16_block_spans", "SELECT sheet_id, article, min(row_no) AS first_row, max(row_no) AS last_row FROM {extracted_rows} WHERE article IS NOT NULL GROUP BY sheet_id, article")
 both("o7_first_rows", "SELECT sheet_id, row_id, row_no FROM (SELECT sheet_id, row_id, row_no, row_number() OVER (" + _SHEET + ") AS rn FROM {extracted_rows}) WHERE rn <= 20")
