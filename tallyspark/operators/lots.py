@@ -14,18 +14,20 @@ def first_by(value: str, order: Column) -> Column:
     return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), order)).alias(value)
 
 
-def assemble_lots(rows: DataFrame, keys: list[str], token: str, fields: list[str], order: list[str]) -> DataFrame:
+def assemble_lots(rows: DataFrame, keys: list[str], token: str, fields: list[str], order: list[str], only: bool = False) -> DataFrame:
     """One row for each (keys, token) with the first non-null value of each field in source order, and lot_no within the keys.
 
-    Rows with an empty token go to the first lot of their keys, or make one if there is none. `order` must be a total
+    Rows with an empty token go to the first lot of their keys (with `only`, to the only lot), or make one if there is
+    none; first_row is the least first column of `order`. `order` must be a total
     order for a repeatable result. Null keys form no lot; an empty table gives an empty result.
     """
     rank = F.struct(*order)
     own = rows.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
     lots = own.where(F.col(token) != "").groupBy(*keys, token).agg(F.min(rank).alias("_at"))
-    first = lots.groupBy(*keys).agg(F.min_by(token, "_at").alias("_first"))
+    first = lots.groupBy(*keys).agg(F.min_by(token, "_at").alias("_first"), F.count("*").alias("_lots"))
+    first = first.withColumn("_first", F.when(F.col("_lots") == 1, F.col("_first"))) if only else first
     placed = own.join(first, keys, "left").withColumn(token, F.when(F.col(token) != "", F.col(token)).otherwise(F.coalesce("_first", F.lit(""))))
-    merged = placed.groupBy(*keys, token).agg(F.min(rank).alias("_at"), *(first_by(f, rank) for f in fields), F.count("*").alias("n_rows"))
+    merged = placed.groupBy(*keys, token).agg(F.min(rank).alias("_at"), *(first_by(f, rank) for f in fields), F.count("*").alias("n_rows"), *([F.min(order[0]).alias("first_row")] if only else []))
     return merged.withColumn("lot_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))).drop("_at")
 
 

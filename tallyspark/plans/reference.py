@@ -138,15 +138,6 @@ def j2_digit_suffix(spark, sf_dir):
 ORACLE["j2_digit_suffix"] = ORACLE["j2_digit_suffix"].replace("{{", "{").replace("}}", "}")
 
 
-@query("WITH n AS (SELECT DISTINCT upper(article) AS name FROM articles_ref), w AS (SELECT name, unnest(range(1, len(regexp_split_to_array(name, '[-_/]')))) AS i, string_split(regexp_replace(name, '[_/]', '-', 'g'), '-') AS p FROM n), c AS (SELECT name, array_to_string(p[1:i], '-') AS parent FROM w) SELECT c.name, arg_max(c.parent, length(c.parent)) AS parent FROM c JOIN (SELECT DISTINCT split_part(upper(normalized), '-', 1) AS known FROM articles_ref) k ON c.parent = k.known GROUP BY 1")
-def j5_component_parent(spark, sf_dir):
-    ref = table(spark, sf_dir, "articles_ref")
-    names = ref.select(F.upper("article").alias("name")).distinct()
-    known = ref.select(F.split_part(F.upper("normalized"), F.lit("-"), F.lit(1)).alias("known")).distinct()
-    return L.longest_known_prefix(names, known, "name", "known")
-
-
-both("j6_catalog_join", "SELECT i.item_id, coalesce(a.hs_code, i.hs_code) AS hs_code, coalesce(a.description_en, c.description_en) AS description, CASE WHEN a.article IS NOT NULL THEN 'key' WHEN c.hs_code IS NOT NULL THEN 'code' ELSE 'none' END AS path FROM {canonical_items} i LEFT JOIN {articles_ref} a ON i.article = a.article LEFT JOIN (SELECT hs_code, min(description_en) AS description_en FROM {articles_ref} GROUP BY hs_code HAVING count(DISTINCT description_en) = 1) c ON i.hs_code = c.hs_code")
 both("s29_catalog_index", "SELECT hs_code, count(DISTINCT description_en) > 1 AS conflict, CASE WHEN count(DISTINCT description_en) = 1 THEN min(description_en) END AS description, count(*) AS n FROM {articles_ref} GROUP BY hs_code")
 both("s28_first_key_wins", "SELECT item_key, item_id FROM (SELECT item_key, item_id, row_number() OVER (PARTITION BY item_key ORDER BY loaded_at, item_id) AS rn FROM {canonical_items}) WHERE rn = 1")
 
@@ -176,10 +167,7 @@ def j20_scan_review(spark, sf_dir):
     return a.join(b, ["kit_id", "k"], "full").select("kit_id", "k", F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").when(near, "matched").otherwise("question").alias("verdict"))
 
 
-both("j17_richest_row", "SELECT kit_id, item_no, row_id FROM (SELECT kit_id, item_no, row_id, row_number() OVER (PARTITION BY kit_id, item_no ORDER BY (CASE WHEN price IS NULL THEN 0 ELSE 1 END + CASE WHEN amount IS NULL THEN 0 ELSE 1 END + CASE WHEN net_weight IS NULL THEN 0 ELSE 1 END + CASE WHEN hs_code IS NULL THEN 0 ELSE 1 END) DESC, row_id) AS rn FROM {extracted_rows} WHERE item_no IS NOT NULL) WHERE rn = 1")
-both("u2_union_first_key", "SELECT k, min_by(src, rk) AS src FROM (SELECT article AS k, 'items' AS src, 0 AS rk FROM {canonical_items} UNION ALL SELECT article, 'reference', 1 FROM {articles_ref}) WHERE k IS NOT NULL GROUP BY k", "SELECT k, arg_min(src, rk) AS src FROM (SELECT article AS k, 'items' AS src, 0 AS rk FROM canonical_items UNION ALL SELECT article, 'reference', 1 FROM articles_ref) WHERE k IS NOT NULL GROUP BY k")
 both("u3_dedupe_by_hash", "SELECT sha2(text, 256) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM {documents} WHERE text IS NOT NULL GROUP BY sha2(text, 256)", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
-both("u4_items_without_reference", "SELECT DISTINCT article FROM {canonical_items} WHERE article IS NOT NULL EXCEPT SELECT article FROM {articles_ref}")
 both("u5_common_codes", "SELECT DISTINCT hs_code FROM {canonical_items} WHERE hs_code IS NOT NULL INTERSECT SELECT hs_code FROM {articles_ref}")
 
 
@@ -213,7 +201,6 @@ def a16_unanimous_vote(spark, sf_dir):
     return L.unanimous_vote(table(spark, sf_dir, "canonical_items"), ["item_key"], "hs_code")
 
 
-both("a20_majority_text", "SELECT item_key, manufacturer, n FROM (SELECT item_key, manufacturer, count(*) AS n, sum(count(*)) OVER (PARTITION BY item_key) AS total FROM {canonical_items} WHERE manufacturer IS NOT NULL GROUP BY item_key, manufacturer) WHERE 2 * n > total")
 both("a6_null_aware_totals", "SELECT kit_id, " + ", ".join(f"CAST(round(sum(CAST({c} AS DECIMAL(18,4))), 4) AS DOUBLE) AS {c}" for c in ("qty", "amount", "rolls", "net_weight", "gross_weight")) + " FROM {extracted_rows} GROUP BY kit_id")
 
 
@@ -251,9 +238,7 @@ both("p31_mixed_shipments", "SELECT source, count(DISTINCT kit_id) AS kits, coun
 _BY_ROLE = "SELECT kit_id, item_no, {c} AS v, role FROM {{extracted_rows}} WHERE item_no IS NOT NULL AND {c} IS NOT NULL"
 both("v1_field_mismatch", "SELECT kit_id, item_no, field_name, 'RED' AS severity FROM (" + " UNION ALL ".join(f"SELECT kit_id, item_no, '{c}' AS field_name, max({c}) - min({c}) AS gap, count(DISTINCT role) AS roles FROM {{extracted_rows}} WHERE item_no IS NOT NULL AND {c} IS NOT NULL GROUP BY kit_id, item_no" for c in ("qty", "net_weight", "gross_weight")) + ") WHERE roles >= 2 AND gap > 1e-6")
 both("v2_missing_pairs", "SELECT kit_id, item_no, CASE WHEN max(CASE WHEN role = 'packing' THEN 1 ELSE 0 END) = 0 THEN 'not in packing' ELSE 'not in invoice' END AS message FROM {extracted_rows} WHERE item_no IS NOT NULL AND role IN ('invoice', 'packing') GROUP BY kit_id, item_no HAVING count(DISTINCT role) = 1")
-both("v3_catalog_flags", "SELECT i.item_id, CASE WHEN a.article IS NULL THEN 'YELLOW' ELSE 'RED' END AS severity FROM {canonical_items} i LEFT JOIN {articles_ref} a ON i.article = a.article WHERE a.article IS NULL OR i.hs_code <> a.hs_code")
 both("v4_missing_code", "SELECT item_id, CASE WHEN hs_code IS NULL AND description IS NULL THEN 'both' WHEN hs_code IS NULL THEN 'code' ELSE 'description' END AS missing FROM {canonical_items} WHERE hs_code IS NULL OR description IS NULL")
-both("v5_weight_drift", "SELECT p.kit_id, p.item_no, p.w AS packing, s.w AS specification FROM (SELECT kit_id, item_no, max(net_weight) AS w FROM {extracted_rows} WHERE role = 'packing' AND item_no IS NOT NULL GROUP BY kit_id, item_no) p JOIN (SELECT kit_id, item_no, max(net_weight) AS w FROM {extracted_rows} WHERE role = 'specification' AND item_no IS NOT NULL GROUP BY kit_id, item_no) s ON p.kit_id = s.kit_id AND p.item_no = s.item_no WHERE abs(p.w - s.w) > 0.2")
 both("v6_amount_basis", "SELECT item_id, 'RED' AS severity FROM {canonical_items} WHERE abs(amount - price * qty) > 0.03 * greatest(abs(amount), 1)")
 both("v7_pairwise", "SELECT line_id, CASE WHEN net IS NULL OR gross IS NULL THEN 'YELLOW' WHEN net - gross > 0.05 THEN 'RED' END AS severity FROM {doc_lines} WHERE net IS NULL OR gross IS NULL OR net - gross > 0.05")
 both("v15_item_severity", "SELECT item_id, loaded_at, exists(flags, f -> f.severity = 'RED') AS red, size(flags) AS n FROM {canonical_items} WHERE flags IS NOT NULL", "SELECT item_id, loaded_at, len(list_filter(flags, lambda f: f.severity = 'RED')) > 0 AS red, CAST(len(flags) AS INTEGER) AS n FROM canonical_items WHERE flags IS NOT NULL")
