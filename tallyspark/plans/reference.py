@@ -201,7 +201,6 @@ def a16_unanimous_vote(spark, sf_dir):
     return L.unanimous_vote(table(spark, sf_dir, "canonical_items"), ["item_key"], "hs_code")
 
 
-both("a6_null_aware_totals", "SELECT kit_id, " + ", ".join(f"CAST(round(sum(CAST({c} AS DECIMAL(18,4))), 4) AS DOUBLE) AS {c}" for c in ("qty", "amount", "rolls", "net_weight", "gross_weight")) + " FROM {extracted_rows} GROUP BY kit_id")
 
 
 @query("SELECT o_custkey, l_orderkey, CAST(CASE WHEN grouping(l_orderkey) = 0 THEN 2 WHEN grouping(o_custkey) = 0 THEN 1 ELSE 0 END AS INTEGER) AS level, CAST(round(sum(CAST(l_quantity AS DECIMAL(18,4))), 2) AS DOUBLE) AS l_quantity, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18,4))), 2) AS DOUBLE) AS l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ROLLUP (o_custkey, l_orderkey)")
@@ -215,7 +214,6 @@ both("a22_layout", "SELECT kit_id, count(hs_code) >= 0.6 * count(*) AS coded, co
 both("a23_profile", "SELECT kit_id, CASE WHEN count(DISTINCT role) >= 2 THEN 'many' ELSE 'single' END AS profile, count(DISTINCT sheet_id) AS sheets FROM {extracted_rows} GROUP BY kit_id")
 both("a24_status", "SELECT kit_id, CASE WHEN max(warning_count) > 0 THEN 'NEEDS_REVIEW' ELSE 'READY' END AS status, max(attempt) AS attempt FROM {kit_results} GROUP BY kit_id")
 both("a25_flag_dedupe", "SELECT DISTINCT item_id, f.field_name, f.error_type, f.severity, f.message FROM (SELECT item_id, explode(flags) AS f FROM {canonical_items})", "SELECT DISTINCT item_id, f.field_name, f.error_type, f.severity, f.message FROM (SELECT item_id, unnest(flags) AS f FROM canonical_items)")
-both("a26_sources", "SELECT src AS source, count(DISTINCT item_id) AS items FROM (SELECT item_id, explode(sources) AS src FROM {canonical_items}) GROUP BY src", "SELECT src AS source, count(DISTINCT item_id) AS items FROM (SELECT item_id, unnest(sources) AS src FROM canonical_items) GROUP BY src")
 both("a29_document_summary", "SELECT source, count(*) AS n_lines, count(CASE WHEN freight THEN 1 END) AS n_freight, count(DISTINCT vendor) AS vendors FROM {doc_lines} GROUP BY source")
 
 
@@ -223,7 +221,6 @@ both("a29_document_summary", "SELECT source, count(*) AS n_lines, count(CASE WHE
 _SHEET = "PARTITION BY sheet_id ORDER BY row_no, row_id, loaded_at"
 both("w2_caption_segments", "SELECT sheet_id, segment, count(*) AS n_rows, CAST(sum(CAST(qty AS DECIMAL(18,4))) AS DOUBLE) AS qty FROM (SELECT sheet_id, qty, CAST(sum(CASE WHEN is_group THEN 1 ELSE 0 END) OVER (" + _SHEET + ") AS BIGINT) AS segment FROM {extracted_rows}) GROUP BY sheet_id, segment")
 both("w9_running_number", "SELECT row_id, loaded_at, CAST(row_number() OVER (" + _SHEET + ") AS INTEGER) AS no FROM {extracted_rows}")
-both("w16_block_spans", "SELECT sheet_id, article, min(row_no) AS first_row, max(row_no) AS last_row FROM {extracted_rows} WHERE article IS NOT NULL GROUP BY sheet_id, article")
 both("o7_first_rows", "SELECT sheet_id, row_id, row_no FROM (SELECT sheet_id, row_id, row_no, row_number() OVER (" + _SHEET + ") AS rn FROM {extracted_rows}) WHERE rn <= 20")
 both("o1_product_order", "SELECT kit_id, row_id, loaded_at, CAST(row_number() OVER (PARTITION BY kit_id ORDER BY coalesce(item_no, 999), row_id, loaded_at) AS INTEGER) AS place FROM {extracted_rows} WHERE NOT is_group")
 both("o8_top_two", "SELECT item_key, max(CASE WHEN rn = 1 THEN country END) AS first_country, max(CASE WHEN rn = 2 THEN country END) AS second_country FROM (SELECT item_key, country, row_number() OVER (PARTITION BY item_key ORDER BY count(*) DESC, country) AS rn FROM {canonical_items} WHERE country IS NOT NULL GROUP BY item_key, country) WHERE rn <= 2 GROUP BY item_key")
@@ -236,14 +233,9 @@ _CLASS = "SELECT doc_id, CASE WHEN a >= 1 AND a > b THEN CASE WHEN invoice = a T
 both("p28_classify_documents", _CLASS.replace("{v}", _VOTES.format(n="size", g=", 1")).replace("{t}", "{documents}"), _CLASS.replace("{v}", _VOTES.format(n="len", g="")).replace("{t}", "documents"))
 both("p31_mixed_shipments", "SELECT source, count(DISTINCT kit_id) AS kits, count(DISTINCT kit_id) > 1 AS mixed FROM {documents} GROUP BY source")
 _BY_ROLE = "SELECT kit_id, item_no, {c} AS v, role FROM {{extracted_rows}} WHERE item_no IS NOT NULL AND {c} IS NOT NULL"
-both("v1_field_mismatch", "SELECT kit_id, item_no, field_name, 'RED' AS severity FROM (" + " UNION ALL ".join(f"SELECT kit_id, item_no, '{c}' AS field_name, max({c}) - min({c}) AS gap, count(DISTINCT role) AS roles FROM {{extracted_rows}} WHERE item_no IS NOT NULL AND {c} IS NOT NULL GROUP BY kit_id, item_no" for c in ("qty", "net_weight", "gross_weight")) + ") WHERE roles >= 2 AND gap > 1e-6")
-both("v2_missing_pairs", "SELECT kit_id, item_no, CASE WHEN max(CASE WHEN role = 'packing' THEN 1 ELSE 0 END) = 0 THEN 'not in packing' ELSE 'not in invoice' END AS message FROM {extracted_rows} WHERE item_no IS NOT NULL AND role IN ('invoice', 'packing') GROUP BY kit_id, item_no HAVING count(DISTINCT role) = 1")
 both("v4_missing_code", "SELECT item_id, CASE WHEN hs_code IS NULL AND description IS NULL THEN 'both' WHEN hs_code IS NULL THEN 'code' ELSE 'description' END AS missing FROM {canonical_items} WHERE hs_code IS NULL OR description IS NULL")
-both("v6_amount_basis", "SELECT item_id, 'RED' AS severity FROM {canonical_items} WHERE abs(amount - price * qty) > 0.03 * greatest(abs(amount), 1)")
-both("v7_pairwise", "SELECT line_id, CASE WHEN net IS NULL OR gross IS NULL THEN 'YELLOW' WHEN net - gross > 0.05 THEN 'RED' END AS severity FROM {doc_lines} WHERE net IS NULL OR gross IS NULL OR net - gross > 0.05")
 both("v15_item_severity", "SELECT item_id, loaded_at, exists(flags, f -> f.severity = 'RED') AS red, size(flags) AS n FROM {canonical_items} WHERE flags IS NOT NULL", "SELECT item_id, loaded_at, len(list_filter(flags, lambda f: f.severity = 'RED')) > 0 AS red, CAST(len(flags) AS INTEGER) AS n FROM canonical_items WHERE flags IS NOT NULL")
 both("a31_weight_probe", "SELECT coalesce(a.article, b.article) AS article, a.w AS packing, b.w AS items FROM (SELECT article, CAST(sum(CAST(net_weight AS DECIMAL(18,4))) AS DOUBLE) AS w FROM {extracted_rows} WHERE role = 'packing' AND article IS NOT NULL GROUP BY article) a FULL JOIN (SELECT article, CAST(sum(CAST(net_weight AS DECIMAL(18,4))) AS DOUBLE) AS w FROM {canonical_items} WHERE article IS NOT NULL GROUP BY article) b ON a.article = b.article")
-both("p38_wire_projection", "SELECT item_id, loaded_at, substr(hs_code, 1, 10) AS hs_code, CASE WHEN article IN ('-', '—') THEN '-' ELSE article END AS article, round(price, 4) AS price FROM {canonical_items}")
 
 
 # --- streams over a table ---------------------------------------------------------------------------------------------
