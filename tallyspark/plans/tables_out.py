@@ -179,13 +179,13 @@ def v13_absent_columns(spark, sf_dir):
 
 
 # --- answers in JSON --------------------------------------------------------------------------------------------------
-@query("SELECT recon_id, loaded_at, commercial_data->>'$.qty' AS qty, commercial_data->>'$.currency' AS currency FROM reconciled_items WHERE json_valid(commercial_data) AND commercial_data <> ''")
+@query("SELECT recon_id, loaded_at, TRY_CAST(commercial_data->>'$.qty' AS DOUBLE) AS qty, commercial_data->>'$.currency' AS currency FROM reconciled_items WHERE json_valid(commercial_data) AND commercial_data <> ''")
 def y1_payload(spark, sf_dir):
     """JSON found inside fences and talk."""
     items = table(spark, sf_dir, "reconciled_items").where("commercial_data like '{%}'")
     told = F.concat(F.lit("Here [is it]:\n```json\n"), F.col("commercial_data"), F.lit("\n``` {done}"))
     found = Y.payload(F.regexp_replace(told, r"\[is it\]", "[is it"))
-    return items.select("recon_id", "loaded_at", found.alias("p")).select("recon_id", "loaded_at", F.get_json_object("p", "$.qty").alias("qty"), F.get_json_object("p", "$.currency").alias("currency"))
+    return items.select("recon_id", "loaded_at", found.alias("p")).select("recon_id", "loaded_at", F.get_json_object("p", "$.qty").try_cast("double").alias("qty"), F.get_json_object("p", "$.currency").alias("currency"))
 
 
 @query("SELECT recon_id, loaded_at, coalesce(nullif(packing_data->>'$.gross_weight', ''), nullif(packing_data->>'$.net_weight', '')) AS gross, coalesce(nullif(packing_data->>'$.meters', ''), nullif(packing_data->>'$.area', ''), nullif(packing_data->>'$.pcs', '')) AS measure FROM reconciled_items WHERE json_valid(packing_data)")
