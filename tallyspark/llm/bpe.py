@@ -91,10 +91,16 @@ class ByteBpe:
         return got
 
     def stream(self, chunks) -> Iterator[int]:
-        """Token ids of one piece given as byte chunks, each emitted as soon as it is stable; constant memory."""
+        """Token ids of one piece given as byte chunks, each emitted as soon as it is stable; constant memory.
+
+        A token is stable once all encodings that may still come share it. That is looked at whenever the buffer has
+        grown by the longest token; once it holds more than the lookahead computed from the merge list, what lies further
+        back than that is stable without looking, so the buffer never exceeds that bound.
+        """
         buf = b""  # bytes after the last emitted token
         last: list[tuple[int, int]] = []  # for each end in buf: its last token and where that starts
         before = -1  # the last emitted token
+        looked = 0
         for chunk in chunks:
             for byte in chunk:
                 buf += bytes((byte,))
@@ -110,9 +116,13 @@ class ByteBpe:
                         break
                 else:
                     raise ValueError("the rank file has no token for a byte")
-                if n > 2 * self.longest:
+                if n - looked > 2 * self.longest:
+                    looked = n
                     path = self._common(last)
+                    if not path and n > self.lookahead + 2 * self.longest:
+                        path = [x for x in self._back(last, n) if x[1] <= n - self.lookahead]
                     if path:
+                        looked = 0
                         cutoff = 0
                         for token, end in path:
                             yield token
@@ -161,7 +171,8 @@ class ByteBpe:
         out: list[int] = []
         if text:
             cache, piece = self._cache, self.piece
-            for m in self.pieces.findall(text):
+            for found in self.pieces.finditer(text):  # piece by piece, so that a long text has none of them at once
+                m = found[0]
                 out += cache.get(m) or piece(m)
         return out
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut, shuffle_width
+from ..sources.tables import cut
 from . import bpe
 
 DIMS, BITS = 3, 10
@@ -145,20 +145,20 @@ def fill(stream, capacity: int, window: int):
         yield box
 
 
-def pack_corpus(docs: DataFrame, capacity: int = 2048, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, run_items: int = 20000) -> DataFrame:
+def pack_corpus(docs: DataFrame, capacity: int = 2048, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 32, run_items: int = 20000) -> DataFrame:
     """(id, part_no, token_start, n_tokens, container_id) for every document; parts of one container sum to `capacity` at most.
 
     Only a text of more than `capacity` tokens is split. Null and empty texts take no room: part 0 of 0 tokens with a null
     container. Repeated ids are packed as often as they come. An empty table gives an empty result.
     The narrow rows are checkpointed once, range-sorted by curve with the id's hash as the tie-break (so that a group of
-    equal texts, however large, spreads over ranges) and packed range by range in a stream with `window` waiting items.
-    Each range holds about `run_items` parts or, if there are more than the session's shuffle width of those, an equal
-    share; its last container is the only one that may stay rather empty. container_id: range number and count within it.
+    equal texts, however large, spreads over ranges) and packed range by range in a stream with `window` waiting items: a
+    wider window fills a little better and takes a container's items from further apart. Each range holds about
+    `run_items` parts, at any size of the corpus and in any session; its last container is the only one that may stay
+    rather empty. container_id: range number and count within it.
     """
     parts = cut(size_and_place(docs, capacity, path or bpe.default_path(), id_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
-    count = parts.count()
-    ranges = max(1, min(shuffle_width(docs.sparkSession), -(-count // run_items)))
+    ranges = max(1, -(-parts.count() // run_items))
     kept = parts.where("n_tokens > 0").withColumn("tie", F.xxhash64(id_col, "part_no"))
     ordered = kept.repartitionByRange(ranges, "curve", "tie").sortWithinPartitions("curve", "tie", id_col).drop("tie").withColumn("range_no", F.spark_partition_id())
     schema = f"`{id_col}` {kind}, part_no int, token_start int, n_tokens int, container_id bigint"
