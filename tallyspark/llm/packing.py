@@ -86,7 +86,7 @@ def size_and_place(docs: DataFrame, capacity: int, path: str, id_col: str, text_
 
 
 def fill(stream, capacity: int, window: int):
-    """Containers from (size, payload) in curve order, as lists of payloads; holds `window` waiting items at most.
+    """Containers from (size, payload) in curve order, as lists of payloads; `window` items wait at most, topped up as they go in.
 
     Each container starts with the item that waits longest and takes, again and again, the largest waiting item that
     fits; if two smaller ones together fill the room better than that item, they go in instead.
@@ -101,7 +101,8 @@ def fill(stream, capacity: int, window: int):
         size, arrival = sizes.pop(at)
         return size, order.pop(arrival)[1]
 
-    while True:
+    def top_up():
+        nonlocal ended, arrivals
         while not ended and len(sizes) < window:
             got = next(stream, None)
             if got is None:
@@ -110,12 +111,16 @@ def fill(stream, capacity: int, window: int):
                 order[arrivals] = got
                 bisect.insort(sizes, (got[0], arrivals))
                 arrivals += 1
+
+    while True:
+        top_up()
         if not sizes:
             return
         first = next(iter(order))
         size, payload = take(bisect.bisect_left(sizes, (order[first][0], first)))
         box, room = [payload], capacity - size
-        while sizes:
+        while True:
+            top_up()
             at = bisect.bisect_right(sizes, (room, 1 << 62)) - 1
             if at < 0:
                 break
@@ -145,7 +150,7 @@ def fill(stream, capacity: int, window: int):
         yield box
 
 
-def pack_corpus(docs: DataFrame, capacity: int = 2048, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 32, run_items: int = 20000) -> DataFrame:
+def pack_corpus(docs: DataFrame, capacity: int = 2048, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 24, run_items: int = 20000) -> DataFrame:
     """(id, part_no, token_start, n_tokens, container_id) for every document; parts of one container sum to `capacity` at most.
 
     Only a text of more than `capacity` tokens is split. Null and empty texts take no room: part 0 of 0 tokens with a null
