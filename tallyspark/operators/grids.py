@@ -33,17 +33,18 @@ def unpivoted(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
     return rows.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.col", "_c.name", "_c.v")
 
 
-def fill_merges(cells: DataFrame, merges: DataFrame, sheet: list[str]) -> DataFrame:
+def fill_merges(cells: DataFrame, merges: DataFrame, sheet: list[str], add: bool = False) -> DataFrame:
     """Cells with the value of the origin of a merged range in its empty covered cells, marked `inherited`.
 
     merges: sheet, r0, c0, r1, c1, inclusive. A range is written out into the cells it covers and joined by equality, so no
-    range join is needed; of overlapping ranges the first by (r0, c0) counts.
+    range join is needed; of overlapping ranges the first by (r0, c0) counts. With `add`, covered cells that aren't there
+    at all, as workbooks leave them out, come too.
     """
     spread = merges.select(*sheet, "r0", "c0", F.explode(F.sequence("r0", "r1")).alias("row"), "c1").select(*sheet, "r0", "c0", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
     spread = spread.where("row != r0 or col != c0").groupBy(*sheet, "row", "col").agg(F.min(F.struct("r0", "c0")).alias("_o"))
     origin = cells.select(*sheet, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("v").alias("_v"))
     known = spread.select(*sheet, "row", "col", F.col("_o.r0").alias("_r"), F.col("_o.c0").alias("_c")).join(origin, [*sheet, "_r", "_c"]).select(*sheet, "row", "col", "_v")
-    out = cells.join(known, [*sheet, "row", "col"], "left")
+    out = cells.join(known, [*sheet, "row", "col"], "full" if add else "left")
     empty = F.coalesce(F.trim("v"), F.lit("")) == ""
     return out.select(*sheet, "row", "col", F.when(empty, F.coalesce("_v", "v")).otherwise(F.col("v")).alias("v"), (empty & F.col("_v").isNotNull()).alias("inherited"))
 

@@ -85,8 +85,6 @@ def m6_m7_width_area(spark, sf_dir):
     return w.select("line_id", K.width_in_metres(F.col("w")).alias("width"), K.area(F.col("pieces"), F.col("w")).alias("area"))
 
 
-both("p14_plausible_article", "SELECT row_id, length(article) <= 60 AND NOT contains(article, ':') AND NOT contains(article, '@') AND length(article) - length(replace(article, ' ', '')) <= 5 AND article NOT IN ('-', '—', '--', 'n/a', '') AS plausible FROM {extracted_rows} WHERE article IS NOT NULL")
-both("p15_numeric_sanity", "SELECT count(*) AS n, count(CASE WHEN coalesce(qty, 0) < 1e9 AND coalesce(rolls, 0) < 1e9 AND coalesce(price, 0) < 1e9 AND coalesce(amount, 0) < 1e8 THEN 1 END) AS sane FROM {extracted_rows}")
 both("y7_edit_snapshot", "SELECT item_id, sha2(concat_ws('|', article, color, description, hs_code, unit), 256) AS snapshot FROM {canonical_items}", "SELECT item_id, sha256(concat_ws('|', article, color, description, hs_code, unit)) AS snapshot FROM canonical_items")
 
 
@@ -230,8 +228,6 @@ both("o8_top_two", "SELECT item_key, max(CASE WHEN rn = 1 THEN country END) AS f
 _WORDS = {"invoice": "invoice|инвойс|fattura|fatura|发票", "packing": "packing|упаков|colli|packliste|pakowa|装箱", "specification": "specif|специф|规格"}
 _VOTES = ", ".join(f"least({{n}}(regexp_extract_all(lower(text), '({w})'{{g}})), 5) AS {k}" for k, w in _WORDS.items())
 _CLASS = "SELECT doc_id, CASE WHEN a >= 1 AND a > b THEN CASE WHEN invoice = a THEN 'invoice' WHEN packing = a THEN 'packing' ELSE 'specification' END END AS doc_class FROM (SELECT doc_id, invoice, packing, specification, greatest(invoice, packing, specification) AS a, invoice + packing + specification - greatest(invoice, packing, specification) - least(invoice, packing, specification) AS b FROM (SELECT doc_id, {v} FROM {t}))"
-both("p28_classify_documents", _CLASS.replace("{v}", _VOTES.format(n="size", g=", 1")).replace("{t}", "{documents}"), _CLASS.replace("{v}", _VOTES.format(n="len", g="")).replace("{t}", "documents"))
-both("p31_mixed_shipments", "SELECT source, count(DISTINCT kit_id) AS kits, count(DISTINCT kit_id) > 1 AS mixed FROM {documents} GROUP BY source")
 _BY_ROLE = "SELECT kit_id, item_no, {c} AS v, role FROM {{extracted_rows}} WHERE item_no IS NOT NULL AND {c} IS NOT NULL"
 both("v4_missing_code", "SELECT item_id, CASE WHEN hs_code IS NULL AND description IS NULL THEN 'both' WHEN hs_code IS NULL THEN 'code' ELSE 'description' END AS missing FROM {canonical_items} WHERE hs_code IS NULL OR description IS NULL")
 both("v15_item_severity", "SELECT item_id, loaded_at, exists(flags, f -> f.severity = 'RED') AS red, size(flags) AS n FROM {canonical_items} WHERE flags IS NOT NULL", "SELECT item_id, loaded_at, len(list_filter(flags, lambda f: f.severity = 'RED')) > 0 AS red, CAST(len(flags) AS INTEGER) AS n FROM canonical_items WHERE flags IS NOT NULL")
