@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def payload(texts: pd.Series) -> pd.Series:
     """The first JSON object or array in a text, fences and talk around it left out; null without one. Where an opening sign doesn't start JSON the search goes on."""
 

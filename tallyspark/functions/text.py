@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Words before a design's name that only say what kind of goods it is.
 GROUPING_WORDS = ("sofa fabric", "artificial leather", "genuine leather", "pu leather")
@@ -18,7 +19,7 @@ TURKISH = "[İıŞşĞğÇçÖöÜü]"
 CYRILLIC = "[А-Яа-яЁё]"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition, for which Catalyst has no function; one Arrow pass at intake."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

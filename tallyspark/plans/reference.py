@@ -32,18 +32,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def both(name: str, sql: str, oracle: str | None = None) -> None:
-    """A query in SQL that Catalyst plans; `{table}` names are the test tables. The oracle is the same text unless given."""
-    names = [t for t in TABLES if "{" + t + "}" in sql]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in names})
-
-    QUERIES[name] = run
-    ORACLE[name] = (oracle or sql).replace("{", "").replace("}", "") if not oracle else oracle
-
-
-TABLES = ("extracted_rows", "extracted_sheets", "doc_lines", "reconciled_items", "canonical_items", "kit_results", "documents", "articles_ref", "canon_fields", "lineitem", "orders", "customer", "part", "nation", "events")
 _KEY = "nullif(regexp_replace(upper(article), '[^0-9A-Za-zА-Яа-яЁё]+', '', 'g'), '')"
 _KEYED = f"(SELECT *, {_KEY} AS k FROM extracted_rows)"
 
@@ -68,8 +56,6 @@ def n3_lot_token(spark, sf_dir):
     return table(spark, sf_dir, "extracted_rows").select("row_id", K.lot_token(F.col("qty")).alias("token"))
 
 
-
-
 @query(r"SELECT doc_id, regexp_matches(text, '\p{Cyrillic}') AS cyrillic, regexp_matches(text, '\p{Han}') AS han, regexp_matches(text, '[A-Za-z]') AS latin, regexp_matches(text, '\p{Arabic}') AS arabic FROM documents")
 def n13_scripts(spark, sf_dir):
     has = lambda p: F.col("text").rlike(p)
@@ -85,9 +71,6 @@ def m6_m7_width_area(spark, sf_dir):
     return w.select("line_id", K.width_in_metres(F.col("w")).alias("width"), K.area(F.col("pieces"), F.col("w")).alias("area"))
 
 
-both("y7_edit_snapshot", "SELECT item_id, sha2(concat_ws('|', article, color, description, hs_code, unit), 256) AS snapshot FROM {canonical_items}", "SELECT item_id, sha256(concat_ws('|', article, color, description, hs_code, unit)) AS snapshot FROM canonical_items")
-
-
 # --- text to cells ----------------------------------------------------------------------------------------------------
 @query(r"SELECT doc_id, CAST(line_no - 1 AS INTEGER) AS line_no, CAST(len(regexp_split_to_array(line, '\s{2,}|\t')) AS INTEGER) AS cells FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))")
 def s11_grid_from_text(spark, sf_dir):
@@ -136,10 +119,6 @@ def j2_digit_suffix(spark, sf_dir):
 ORACLE["j2_digit_suffix"] = ORACLE["j2_digit_suffix"].replace("{{", "{").replace("}}", "}")
 
 
-both("s29_catalog_index", "SELECT hs_code, count(DISTINCT description_en) > 1 AS conflict, CASE WHEN count(DISTINCT description_en) = 1 THEN min(description_en) END AS description, count(*) AS n FROM {articles_ref} GROUP BY hs_code")
-both("s28_first_key_wins", "SELECT item_key, item_id FROM (SELECT item_key, item_id, row_number() OVER (PARTITION BY item_key ORDER BY loaded_at, item_id) AS rn FROM {canonical_items}) WHERE rn = 1")
-
-
 @query(f"WITH a AS (SELECT DISTINCT kit_id, k FROM {_KEYED} WHERE k IS NOT NULL AND role = 'invoice') SELECT s.kit_id, s.k FROM a s WHERE NOT EXISTS (SELECT 1 FROM a l WHERE l.kit_id = s.kit_id AND length(s.k) >= 3 AND starts_with(l.k, s.k) AND regexp_matches(substr(l.k, length(s.k) + 1), '^[0-9]{{1,4}}$'))".replace("{{", "{").replace("}}", "}"))
 def j13_drop_prefix_parents(spark, sf_dir):
     a = _rows(spark, sf_dir).where("k is not null and role = 'invoice'").select("kit_id", "k").distinct()
@@ -165,10 +144,6 @@ def j20_scan_review(spark, sf_dir):
     return a.join(b, ["kit_id", "k"], "full").select("kit_id", "k", F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").when(near, "matched").otherwise("question").alias("verdict"))
 
 
-both("u3_dedupe_by_hash", "SELECT sha2(text, 256) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM {documents} WHERE text IS NOT NULL GROUP BY sha2(text, 256)", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
-both("u5_common_codes", "SELECT DISTINCT hs_code FROM {canonical_items} WHERE hs_code IS NOT NULL INTERSECT SELECT hs_code FROM {articles_ref}")
-
-
 # --- allocation, votes, totals ----------------------------------------------------------------------------------------
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax"
 _SHARE = "CASE WHEN sum(CAST(l_quantity AS DECIMAL(18,4))) OVER w > 0 THEN CAST(CAST(l_quantity AS DECIMAL(18,4)) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) OVER w AS DOUBLE) ELSE 1.0 / count(*) OVER w END"
@@ -199,41 +174,12 @@ def a16_unanimous_vote(spark, sf_dir):
     return L.unanimous_vote(table(spark, sf_dir, "canonical_items"), ["item_key"], "hs_code")
 
 
-
-
 @query("SELECT o_custkey, l_orderkey, CAST(CASE WHEN grouping(l_orderkey) = 0 THEN 2 WHEN grouping(o_custkey) = 0 THEN 1 ELSE 0 END AS INTEGER) AS level, CAST(round(sum(CAST(l_quantity AS DECIMAL(18,4))), 2) AS DOUBLE) AS l_quantity, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18,4))), 2) AS DOUBLE) AS l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ROLLUP (o_custkey, l_orderkey)")
 def a7_rollup_totals(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     return L.with_totals(rows, ["o_custkey", "l_orderkey"], ["l_quantity", "l_extendedprice"])
 
 
-both("a4_detail_sheets", "SELECT sheet_id, max(n) >= 3 AND sum(n) >= 2 * count(*) AS detail, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_articles FROM (SELECT sheet_id, article, count(*) AS n FROM {extracted_rows} WHERE article IS NOT NULL AND NOT is_group GROUP BY sheet_id, article) GROUP BY sheet_id")
-both("a22_layout", "SELECT kit_id, count(hs_code) >= 0.6 * count(*) AS coded, count(color) <= 0.25 * count(*) AS plain, count(CASE WHEN unit = 'm' THEN 1 END) >= greatest(2, 0.3 * count(*)) AS fabric FROM {extracted_rows} WHERE NOT is_group GROUP BY kit_id")
-both("a23_profile", "SELECT kit_id, CASE WHEN count(DISTINCT role) >= 2 THEN 'many' ELSE 'single' END AS profile, count(DISTINCT sheet_id) AS sheets FROM {extracted_rows} GROUP BY kit_id")
-both("a24_status", "SELECT kit_id, CASE WHEN max(warning_count) > 0 THEN 'NEEDS_REVIEW' ELSE 'READY' END AS status, max(attempt) AS attempt FROM {kit_results} GROUP BY kit_id")
-both("a25_flag_dedupe", "SELECT DISTINCT item_id, f.field_name, f.error_type, f.severity, f.message FROM (SELECT item_id, explode(flags) AS f FROM {canonical_items})", "SELECT DISTINCT item_id, f.field_name, f.error_type, f.severity, f.message FROM (SELECT item_id, unnest(flags) AS f FROM canonical_items)")
-both("a29_document_summary", "SELECT source, count(*) AS n_lines, count(CASE WHEN freight THEN 1 END) AS n_freight, count(DISTINCT vendor) AS vendors FROM {doc_lines} GROUP BY source")
-
-
-# --- order-dependent logic --------------------------------------------------------------------------------------------
-_SHEET = "PARTITION BY sheet_id ORDER BY row_no, row_id, loaded_at"
-both("w2_caption_segments", "SELECT sheet_id, segment, count(*) AS n_rows, CAST(sum(CAST(qty AS DECIMAL(18,4))) AS DOUBLE) AS qty FROM (SELECT sheet_id, qty, CAST(sum(CASE WHEN is_group THEN 1 ELSE 0 END) OVER (" + _SHEET + ") AS BIGINT) AS segment FROM {extracted_rows}) GROUP BY sheet_id, segment")
-both("w9_running_number", "SELECT row_id, loaded_at, CAST(row_number() OVER (" + _SHEET + ") AS INTEGER) AS no FROM {extracted_rows}")
-both("o7_first_rows", "SELECT sheet_id, row_id, row_no FROM (SELECT sheet_id, row_id, row_no, row_number() OVER (" + _SHEET + ") AS rn FROM {extracted_rows}) WHERE rn <= 20")
-both("o1_product_order", "SELECT kit_id, row_id, loaded_at, CAST(row_number() OVER (PARTITION BY kit_id ORDER BY coalesce(item_no, 999), row_id, loaded_at) AS INTEGER) AS place FROM {extracted_rows} WHERE NOT is_group")
-both("o8_top_two", "SELECT item_key, max(CASE WHEN rn = 1 THEN country END) AS first_country, max(CASE WHEN rn = 2 THEN country END) AS second_country FROM (SELECT item_key, country, row_number() OVER (PARTITION BY item_key ORDER BY count(*) DESC, country) AS rn FROM {canonical_items} WHERE country IS NOT NULL GROUP BY item_key, country) WHERE rn <= 2 GROUP BY item_key")
-
-
-# --- classification and flags -----------------------------------------------------------------------------------------
-_WORDS = {"invoice": "invoice|инвойс|fattura|fatura|发票", "packing": "packing|упаков|colli|packliste|pakowa|装箱", "specification": "specif|специф|规格"}
-_VOTES = ", ".join(f"least({{n}}(regexp_extract_all(lower(text), '({w})'{{g}})), 5) AS {k}" for k, w in _WORDS.items())
-_CLASS = "SELECT doc_id, CASE WHEN a >= 1 AND a > b THEN CASE WHEN invoice = a THEN 'invoice' WHEN packing = a THEN 'packing' ELSE 'specification' END END AS doc_class FROM (SELECT doc_id, invoice, packing, specification, greatest(invoice, packing, specification) AS a, invoice + packing + specification - greatest(invoice, packing, specification) - least(invoice, packing, specification) AS b FROM (SELECT doc_id, {v} FROM {t}))"
-_BY_ROLE = "SELECT kit_id, item_no, {c} AS v, role FROM {{extracted_rows}} WHERE item_no IS NOT NULL AND {c} IS NOT NULL"
-both("v4_missing_code", "SELECT item_id, CASE WHEN hs_code IS NULL AND description IS NULL THEN 'both' WHEN hs_code IS NULL THEN 'code' ELSE 'description' END AS missing FROM {canonical_items} WHERE hs_code IS NULL OR description IS NULL")
-both("v15_item_severity", "SELECT item_id, loaded_at, exists(flags, f -> f.severity = 'RED') AS red, size(flags) AS n FROM {canonical_items} WHERE flags IS NOT NULL", "SELECT item_id, loaded_at, len(list_filter(flags, lambda f: f.severity = 'RED')) > 0 AS red, CAST(len(flags) AS INTEGER) AS n FROM canonical_items WHERE flags IS NOT NULL")
-both("a31_weight_probe", "SELECT coalesce(a.article, b.article) AS article, a.w AS packing, b.w AS items FROM (SELECT article, CAST(sum(CAST(net_weight AS DECIMAL(18,4))) AS DOUBLE) AS w FROM {extracted_rows} WHERE role = 'packing' AND article IS NOT NULL GROUP BY article) a FULL JOIN (SELECT article, CAST(sum(CAST(net_weight AS DECIMAL(18,4))) AS DOUBLE) AS w FROM {canonical_items} WHERE article IS NOT NULL GROUP BY article) b ON a.article = b.article")
-
-
 # --- streams over a table ---------------------------------------------------------------------------------------------
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
 def st1_event_windows(spark, sf_dir):
