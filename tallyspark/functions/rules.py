@@ -127,9 +127,11 @@ def role_by_words(text: Column, priced: Column, weighed: Column, coded: Column,
     return F.when((score["catalog"] > 0) & coded & ~counted, "catalog").when(won & (winner == "packing") & priced & low.contains("invoice"), "mixed").when(won, winner).otherwise(structure)
 
 
-def document_scores(text: Column) -> dict[str, Column]:
-    """Score of each kind of document: every phrase counts five times at most, plain ASCII words as whole words only."""
-    low = F.lower(T.plain(text))
+def document_scores(low: Column) -> dict[str, Column]:
+    """Score of each kind of document by its plain text in lower case: every phrase counts five times at most, plain ASCII words as whole words only.
+
+    Give the scores columns of their own before they are compared, or each phrase is counted again for every comparison.
+    """
     out = {}
     for kind, words in DOCUMENT_WORDS.items():
         parts = [F.least(F.regexp_count(low, F.lit("\\Q" + w + "\\E" if " " in w or not w.isascii() else f"(?<![\\p{{L}}\\p{{N}}_])\\Q{w}\\E(?![\\p{{L}}\\p{{N}}_])")), F.lit(5)) * weight for w, weight in words]

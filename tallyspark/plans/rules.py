@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import text as T
 from ..operators import sheets as S
 from ..operators import votes as V
 from ..sources.tables import table
@@ -121,8 +122,9 @@ _FIVE = "[" + ", ".join(R.DOCUMENT_WORDS) + "]"
 
 @query(rf"SELECT doc_id, CASE WHEN best >= 2.5 AND round(best - second, 6) >= 0.8 THEN CASE " + " ".join(f"WHEN {k} = best THEN '{k}'" for k in R.DOCUMENT_WORDS) + rf" END END AS kind FROM (SELECT *, list_sort({_FIVE})[5] AS best, list_sort({_FIVE})[4] AS second FROM (SELECT doc_id, {_KINDS} FROM (SELECT doc_id, t, regexp_split_to_array(t, '[^\pL\pN_]+') AS words FROM (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(replace(text, 'İ', 'i' || chr(775)), '[\x00-\x1f\x7f]', '', 'g'), '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))) AS t FROM documents WHERE text IS NOT NULL))))")
 def p28_document_kind(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", R.best_kind(R.document_scores(F.col("text"))).alias("kind"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lower(T.plain(F.col("text"))).alias("low"))
+    scored = docs.select("doc_id", *(s.alias(k) for k, s in R.document_scores(F.col("low")).items()))
+    return scored.select("doc_id", R.best_kind({k: F.col(k) for k in R.DOCUMENT_WORDS}).alias("kind"))
 
 
 @query("SELECT DISTINCT vendor, coalesce(regexp_full_match(lower(trim(split_part(vendor, ':', 1))), '(the )?(buyer|seller|recipient|consignee|shipper|exporter|manufacturer|delivery|address|add)'), false) AS role_only FROM doc_lines WHERE vendor IS NOT NULL AND NOT contains(vendor, '：')")
