@@ -52,3 +52,30 @@ def test_each_figure_is_a_key_of_its_own(spark):
     theirs = linkage.item_records(spark.createDataFrame(items, ITEM))
     pairs = linkage._second_pass(linkage.row_records(spark.createDataFrame(rows, ROW)), theirs).collect()
     assert sorted((r.rid, r.item_id) for r in pairs) == [(i, 1) for i in range(1, 6)]
+
+
+def test_a_common_article_meets_by_one_figure_alone(spark, monkeypatch):
+    items = [(i, "VELMORA 110", "Maker Ltd.", "navy", "5407478901", 100.0 + 31 * i, 3.5 + i, (100.0 + 31 * i) * (3.5 + i), 200.0 + 11 * i, 300.0 + 17 * i) for i in range(40)]
+    rows = [(i, "VELMORA 110", None if i % 2 else "sand", None, 9000.0 + i, None, None, 200.0 + 11 * i, None, False, "net alone") for i in range(40)]
+    rows += [(100 + i, "VELMORA 110", "sand", None, 100.01 + 31 * i, None, None, None, None, False, "quantity nearly, another colour") for i in range(9, 40)]
+    records = linkage.row_records(spark.createDataFrame(rows + rows[:5], ROW))
+    theirs = linkage.item_records(spark.createDataFrame(items + items[:5], ITEM))
+    want = [(i, i) for i in range(40)] + [(100 + i, i) for i in range(9, 40)]
+    whole = linkage._second_pass(records, theirs).collect()
+    assert sorted((r.rid, r.item_id) for r in whole) == want
+    for name, n in (("BLOCK_RECORDS", 25), ("BLOCK_ITEMS", 12)):  # in parts as whole
+        monkeypatch.setattr(linkage, name, n)
+    assert sorted(linkage._second_pass(records, theirs).collect()) == sorted(whole)
+
+
+def test_levels_of_a_block_are_those_of_the_pattern(spark):
+    rng = random.Random(3)
+    fig = lambda top: rng.choice([None, round(rng.uniform(1, top), 2), 50.0, 50.4, 51.0])
+    items = [(i, "NORVIK 210", rng.choice([None, "Alfa Tekstil Ltd", "Beta"]), rng.choice([None, "navy", "sand"]), rng.choice([None, "5407", "540747", "5407478901"]), fig(90), fig(9), fig(90), fig(90), fig(90)) for i in range(60)]
+    lines = [(i, rng.choice(["NORVIK 210", None]), rng.choice([None, "ALFA TEKSTIL", "Gamma Beta"]), "x", rng.choice([None, "5407.47", "54074789"]), None, fig(90), fig(9), fig(90), fig(90), fig(90), False) for i in range(60)]
+    theirs = linkage.item_records(spark.createDataFrame(items, ITEM))
+    mine = linkage.line_records(spark.createDataFrame(lines, "line_id bigint, model string, vendor string, description string, hs string, qty_text string, pieces double, price double, amount double, net double, gross double, freight boolean"))
+    both = linkage._sided(mine, "r").crossJoin(linkage._sided(theirs, "i"))
+    right = {(r.r_rid, r.pattern) for r in both.where("r_name is not null").select("r_rid", linkage._pattern().alias("pattern")).collect()}
+    got = {(r.rid, r.pattern) for r in linkage._by_article(mine, theirs).collect()}
+    assert got and got <= right
