@@ -13,12 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut
 from .lookalike import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
 
 NONE = "none"
-#: Forms that are sent to every task; more of them are joined by a shuffle.
-SMALL = 100_000
 _SHAPE = {ord(a.upper()): b.upper() for x, y in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS)) for a, b in zip(x, y, strict=True) if b != "v"}
 _NUMBERED = re.compile(r"^\s*\d{1,3}\s*[.)]\s*(?=\D)")
 _UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
@@ -120,10 +117,14 @@ class Trie:
 
 
 class Resolver:
-    """Normalised texts to targets, or NONE; remembers what it resolved."""
+    """Normalised texts to targets, or NONE; remembers what it resolved.
 
-    def __init__(self, titles: list[tuple[str, str]], aliases: list[tuple[str, str, int]] = ()):
+    paths: the aliases with a path of their own in the trie, where another Resolver of the same aliases has chosen them.
+    """
+
+    def __init__(self, titles: list[tuple[str, str]], aliases: list[tuple[str, str, int]] = (), paths: set[str] | None = None):
         self.exact: dict[str, str] = {}
+        self.paths: set[str] = set()
         best: dict[str, int] = {}
         trie = Trie()
         for text, target in titles:
@@ -134,8 +135,13 @@ class Resolver:
                 continue
             best[text] = weight
             self.exact.setdefault(text, target)
-            near = trie.search(text, min(1, allowed(len(text))))
-            if not any(t == target and w >= 5 * weight for _, t, w in near):  # a misspelling needs no path of its own
+            if paths is None:
+                near = trie.search(text, min(1, allowed(len(text))))
+                own = not any(t == target and w >= 5 * weight for _, t, w in near)  # a misspelling needs no path of its own
+            else:
+                own = text in paths
+            if own:
+                self.paths.add(text)
                 trie.add(text, target, weight)
         self.trie = trie
         self.memo: dict[str, tuple[str, int, str]] = {}
@@ -197,15 +203,14 @@ def cells(sheets: DataFrame, id_col: str, text_col: str, map_col: str, separator
     return long.select(id_col, "col_no", "cell", F.try_element_at(map_col, F.col("col_no")).alias("vote"), F.coalesce(F.size(map_col) > 0, F.lit(False)).alias("voted"))
 
 
-def learn_aliases(sheets: DataFrame, titles: list[tuple[str, str]], id_col: str = "sheet_id", text_col: str = "header_text", map_col: str = "mapping", separator: str = " | ", share: float = 1e-4) -> tuple[DataFrame, list[tuple[str, str, int]]]:
-    """Aliases of the canonical entries that earlier, partly wrong work agrees on: all of them as a table, and those for the trie.
+def learn_aliases(sheets: DataFrame, titles: list[tuple[str, str]], id_col: str = "sheet_id", text_col: str = "header_text", map_col: str = "mapping", separator: str = " | ") -> list[tuple[str, str, int]]:
+    """(form, target, support): all aliases of the canonical entries that earlier, partly wrong work agrees on.
 
     Every cell of every sheet with such work votes, a cell of one sheet only once however often that was delivered; equal
     cells with equal votes are counted before any is looked at, and votes that are themselves loosely written are resolved against the titles. A form stands for a target if it has two
     votes for it, 70 % of the votes for any agree and at most 70 % of its cells have none; for NONE if it comes 5 times
-    and at most an eighth of its cells have a vote. The table (form, target, support) holds every such form and answers
-    the cells written just so. Only forms of at least `share` of the votes, hence 1/share at most at any size of the
-    data, come to the driver and also lend the trie a path for misspellings.
+    and at most an eighth of its cells have a vote. However rare, each such form counts: they come to the driver and
+    go with every task, so both need memory for the distinct forms that are agreed on, not for the cells.
     """
     keys = sorted({t for _, t in titles}) or [NONE]  # without entries nothing can be meant
 
@@ -228,10 +233,8 @@ def learn_aliases(sheets: DataFrame, titles: list[tuple[str, str]], id_col: str
     forms = forms.select("form", "total", F.coalesce("voted", F.lit(0)).alias("voted"), tops.alias("top"))
     agreed = (F.col("top.n") >= 2) & (F.col("top.n") >= 0.7 * F.col("voted")) & (F.col("voted") >= 0.3 * F.col("total"))
     nothing = (F.col("total") >= 5) & (F.col("voted") <= F.col("total") / 8)
-    forms = cut(forms.select("form", F.when(agreed, F.col("top.k")).when(nothing, F.lit(NONE)).alias("target"), "total"))
-    everything = forms.agg(F.sum("total")).first()[0] or 0
-    known = forms.where("target is not null").select("form", "target", F.col("total").alias("support"))
-    return known, [tuple(r) for r in known.where(F.col("support") >= share * everything).collect()]
+    forms = forms.select("form", F.when(agreed, F.col("top.k")).when(nothing, F.lit(NONE)).alias("target"), "total")
+    return [tuple(r) for r in forms.where("target is not null").select("form", "target", "total").collect()]
 
 
 def _form(cell: str, forms: dict[str, str]) -> str:
@@ -243,21 +246,20 @@ def _form(cell: str, forms: dict[str, str]) -> str:
     return got
 
 
-def map_values(sheets: DataFrame, titles: list[tuple[str, str]], aliases: tuple[DataFrame, list[tuple[str, str, int]]], id_col: str = "sheet_id", text_col: str = "header_text", map_col: str = "mapping", separator: str = " | ") -> DataFrame:
+def map_values(sheets: DataFrame, titles: list[tuple[str, str]], aliases: list[tuple[str, str, int]], id_col: str = "sheet_id", text_col: str = "header_text", map_col: str = "mapping", separator: str = " | ") -> DataFrame:
     """(id, col_no, cell, field_key, edits, how) for every cell that isn't blank; `none` where no entry is meant.
 
-    Arrow batches: each distinct cell of a batch is resolved once and taken by index. Titles and the bounded aliases go
-    with the task; the table of all aliases is joined by form and answers what isn't a title or such an alias, so that
-    rare forms that the votes agree on count like common ones. Null and empty texts give no row; a text of separators
+    Arrow batches: each distinct cell of a batch is resolved once and taken by index. Titles and all aliases go with the
+    task, and which of them have a path in the trie, which is found out once. Null and empty texts give no row; a text of separators
     only has blank cells only. A repeated row gives its cells again.
     """
-    known, common = aliases
+    shared = sheets.sparkSession.sparkContext.broadcast((aliases, Resolver(titles, aliases).paths))
     kind = sheets.schema[id_col].dataType.simpleString()
-    out = f"`{id_col}` {kind}, col_no int, cell string, form string, field_key string, edits int, how string"
+    out = f"`{id_col}` {kind}, col_no int, cell string, field_key string, edits int, how string"
 
     def run(batches):
         forms: dict[str, str] = {}
-        resolver = Resolver(titles, common)
+        resolver = Resolver(titles, *shared.value)
         for batch in batches:
             coded = pa.array(batch.column(2)).dictionary_encode()
             values = coded.dictionary.to_pylist()
@@ -265,13 +267,9 @@ def map_values(sheets: DataFrame, titles: list[tuple[str, str]], aliases: tuple[
             for cell in values:
                 form = _form(cell, forms)
                 blank = not form and (not cell or cell.isspace())
-                made.append((None, None, None, None) if blank else (" ".join(form.split()), *resolver.resolve(form)))
-            columns = [pa.array([m[i] for m in made], t).take(coded.indices) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))]
-            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], [id_col, "col_no", "cell", "form", "field_key", "edits", "how"])
+                made.append((None, None, None) if blank else resolver.resolve(form))
+            columns = [pa.array([m[i] for m in made], t).take(coded.indices) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], [id_col, "col_no", "cell", "field_key", "edits", "how"])
             yield rows.filter(pc.is_valid(rows.column(3)))
 
-    found = cells(sheets, id_col, text_col, map_col, separator).where("cell is not null").select(id_col, "col_no", "cell").mapInArrow(run, out)
-    rare_forms = known.select("form", "target")
-    told = found.join(F.broadcast(rare_forms) if known.count() <= SMALL else rare_forms, "form", "left")
-    rare = F.col("target").isNotNull() & (F.col("how") != "exact")
-    return told.select(id_col, "col_no", "cell", F.when(rare, F.col("target")).otherwise(F.col("field_key")).alias("field_key"), F.when(rare, 0).otherwise(F.col("edits")).alias("edits"), F.when(rare, "exact").otherwise(F.col("how")).alias("how"))
+    return cells(sheets, id_col, text_col, map_col, separator).where("cell is not null").select(id_col, "col_no", "cell").mapInArrow(run, out)

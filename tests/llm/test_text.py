@@ -147,3 +147,13 @@ def test_every_garbled_run_of_a_line_is_restored():
     parts = [words[i % 5] for i in range(12)]
     bad = f" {rare} ".join(w.encode().decode("latin-1") for w in parts)
     assert d.repair(bad)[:2] == (True, f" {rare} ".join(parts))
+
+
+def test_a_rare_alias_lends_its_misspellings_a_path(spark):
+    titles = [("Article", "article"), ("Gross weight", "gross_weight")]
+    rows = [(i, "Article", {0: "article"}) for i in range(30000)] + [(30000, "Bruttogewicht", {0: "gross_weight"}), (30001, "Bruttogewicht", {0: "gross_weight"}), (30002, "Brutogewihct", None), (30003, "Bruttogewicht", None)]
+    many = [(40000 + i, f"Article {i}", {0: "article"}) for i in range(3000)]
+    sheets = spark.createDataFrame(rows + many, "sheet_id bigint, header_text string, mapping map<int,string>")
+    aliases = canonlist.learn_aliases(sheets, titles)
+    got = canonlist.map_values(sheets.where("sheet_id in (30002, 30003)"), titles, aliases).collect()
+    assert {r.sheet_id: (r.field_key, r.how) for r in got} == {30002: ("gross_weight", "near"), 30003: ("gross_weight", "exact")}
