@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -315,49 +316,90 @@ def garbled_line(line: str, seed: int) -> str | None:
     return line[:a] + new + line[b:] if new != line[a:b] and "\n" not in new and " " not in new.strip() else None
 
 
-def validated(model: CharModel, clean: list[str]) -> tuple[Detector, dict[str, float]]:
-    """The detector with margin and level from texts kept out of training, and what was measured on them.
+#: Margins to choose from.
+_STEPS = np.arange(1.0, 20.25, 0.25)
+
+
+def _odd_tokens(lines: list[str]) -> list[str]:
+    return [t for line in lines for t in line.split() if not t.isascii()]
+
+
+def _garbled(lines: list[str]) -> list[tuple[str, str]]:
+    """Lines with what garbling made of them, the same for a line wherever it lies."""
+    made = ((line, garbled_line(line, zlib.crc32(line.encode("utf-8", "surrogatepass")))) for line in lines)
+    return [(line, bad) for line, bad in made if bad]
+
+
+def validated(model: CharModel, texts: DataFrame, measure: bool = True) -> tuple[Detector, dict[str, float]]:
+    """The detector with margin and level from all texts kept out of training, and what was measured on them.
 
     The level is the one that one clean token in a thousand falls below. The margin is where the fewest lines are told
     wrongly: clean lines whose best reading gains more, and lines of the same texts, garbled here, that gain less. Lines
-    that are really garbled already gain at any margin in reach and don't move it.
+    that are really garbled already gain at any margin in reach and don't move it. Each distinct token and line counts
+    once; they are scored where they lie, and only counts for each margin come to the driver. measure: the figures too.
     """
-    tokens = sorted({t for text in clean for t in text.split() if not t.isascii()})
-    rates = sorted(s / (len(t) + 1) for t, s in zip(tokens, model.scores(tokens)))
-    level = rates[len(rates) // 1000] if rates else -math.inf
-    detector = Detector(model, math.inf, level)
-    lines = sorted({line for text in clean for line in text.split("\n") if not line.isascii()})
-    if len(lines) < 20:
-        return Detector(model, 8.0, level), {}
-    gains = [detector.line(line)[0] for line in lines]
-    made = [(line, bad) for i, line in enumerate(lines) if (bad := garbled_line(line, zlib.crc32(line.encode("utf-8", "surrogatepass")) ^ i))]
-    found = [detector.line(bad)[0] for _, bad in made]
-    steps = np.arange(1.0, 20.25, 0.25)
-    wrong = [sum(g > m for g in gains) + sum(g <= m for g in found) for m in steps]
-    best = [m for m, w in zip(steps, wrong) if w == min(wrong)]
-    margin = float(np.median(best))
-    final = Detector(model, margin, level)
-    restored = sum(final.repair(bad)[1] == line for line, bad in made)
-    return final, {"lines": len(lines), "above": sum(g > margin for g in gains), "garbled": len(made), "missed": sum(g <= margin for g in found), "restored": restored, "margin": margin, "level": level}
+    shared = texts.sparkSession.sparkContext.broadcast((model.slots, model.singles))
 
+    def parts(frames) -> Iterator[pd.DataFrame]:
+        seen: dict[str, bool] = {}
+        for pdf in frames:
+            clean = [t for t in pdf.iloc[:, 0] if isinstance(t, str) and not t.isascii() and _looks_clean(t, seen)]
+            lines = {line for t in clean for line in t.split("\n") if not line.isascii()}
+            tokens = set(_odd_tokens(clean))
+            yield pd.DataFrame({"line": [True] * len(lines) + [False] * len(tokens), "part": [*lines, *tokens]})
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2000) -> Detector:
-    """A detector for the corpus: model from all clean texts but a tenth, margin from about `held_out` clean ones of that tenth."""
-    return fit_measured(docs, id_col, text_col, held_out)[0]
+    def rates(frames) -> Iterator[pd.DataFrame]:
+        own = CharModel(*shared.value)
+        for pdf in frames:
+            tokens = pdf.part.tolist()
+            yield pd.DataFrame({"rate": [x / (len(t) + 1) for t, x in zip(tokens, own.scores(tokens))]})
+
+    both = texts.mapInPandas(parts, "line boolean, part string").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    lines, rated = both.where("line").select("part"), both.where("not line").select("part").mapInPandas(rates, "rate double")
+    lowest = rated.count() // 1000 + 1
+    level = rated.orderBy("rate").limit(lowest).agg(F.max("rate")).first()[0]
+    level = -math.inf if level is None else level
+
+    def gains(frames) -> Iterator[pd.DataFrame]:
+        own = Detector(CharModel(*shared.value), math.inf, level)
+        for pdf in frames:
+            clean = pdf.part.tolist()
+            bad = [b for _, b in _garbled(clean)]
+            own.learn(_odd_tokens(clean + bad))
+            good, found = (np.array([own.line(x)[0] for x in some]) for some in (clean, bad))
+            yield pd.DataFrame({"step": np.arange(len(_STEPS)), "lines": len(clean), "garbled": len(bad), "above": [(good > m).sum() for m in _STEPS], "missed": [(found <= m).sum() for m in _STEPS]})
+
+    def restored(frames) -> Iterator[pd.DataFrame]:
+        own = Detector(CharModel(*shared.value), margin, level)
+        for pdf in frames:
+            made = _garbled(pdf.part.tolist())
+            own.learn(_odd_tokens([b for _, b in made]))
+            yield pd.DataFrame({"n": [sum(own.repair(bad)[1] == line for line, bad in made)]})
+
+    names = ["lines", "garbled", "above", "missed"]
+    told = lines.mapInPandas(gains, "step int, lines bigint, garbled bigint, above bigint, missed bigint").groupBy("step").agg(*(F.sum(c).alias(c) for c in names)).orderBy("step").toPandas()
+    if not len(told) or told.lines[0] < 20:
+        both.unpersist()
+        return Detector(model, 8.0, level), {}
+    wrong = told.above + told.missed
+    margin = float(np.median(_STEPS[(wrong == wrong.min()).to_numpy()]))
+    # the margin may lie between two steps of the fewest: the counts are those of the step below
+    at = told.iloc[int(np.searchsorted(_STEPS, margin, "right")) - 1]
+    figures = {c: int(at[c]) for c in names} | {"margin": margin, "level": level}
+    if measure:
+        figures["restored"] = lines.mapInPandas(restored, "n bigint").agg(F.sum("n")).first()[0]
+    both.unpersist()
+    return Detector(model, margin, level), figures
 
 
-def fit_measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2000) -> tuple[Detector, dict[str, float]]:
-    """As fit, with the figures measured on the held-out texts.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Detector:
+    """A detector for the corpus: model from all clean texts but a tenth, margin from all clean ones of that tenth."""
+    return fit_measured(docs, id_col, text_col, False)[0]
 
-    The held-out texts are picked by the hash of their content before they are read, each once, so what comes to the
-    driver doesn't grow with the corpus.
-    """
-    model = train(docs, text_col)
-    share = min(1.0, 10 * held_out / max(docs.count(), 1))
-    picked = F.pmod(F.xxhash64(F.lit(5), F.col(text_col)), F.lit(1 << 20)) < int(share * (1 << 20))
-    some = docs.where(_held_out(text_col) & picked).select(text_col).distinct().toPandas()
-    seen: dict[str, bool] = {}
-    return validated(model, sorted(t for t in some[text_col] if isinstance(t, str) and _looks_clean(t, seen)))
+
+def fit_measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: bool = True) -> tuple[Detector, dict[str, float]]:
+    """As fit, with the figures measured on the held-out texts, each of which counts once."""
+    return validated(train(docs, text_col), docs.where(_held_out(text_col)).select(text_col).distinct(), measure)
 
 
 def repair_corpus(docs: DataFrame, detector: Detector, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -157,3 +157,16 @@ def test_a_rare_alias_lends_its_misspellings_a_path(spark):
     aliases = canonlist.learn_aliases(sheets, titles)
     got = canonlist.map_values(sheets.where("sheet_id in (30002, 30003)"), titles, aliases).collect()
     assert {r.sheet_id: (r.field_key, r.how) for r in got} == {30002: ("gross_weight", "near"), 30003: ("gross_weight", "exact")}
+
+
+def test_margin_comes_from_every_held_out_line(spark):
+    words = ["снабжён", "этикеткой", "указанием", "предназначена", "портьер", "ширина", "большая", "цвета", "длины", "рулон"]
+    texts = [(i, " ".join(words[(i // 10**k) % 10] for k in range(5)) + f" № {i}") for i in range(30000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    held = docs.where(mojibake._held_out("text")).select("text").distinct()
+    detector, told = mojibake.fit_measured(docs)
+    assert held.count() > 2500
+    assert told["lines"] == held.count()
+    assert 0 < told["garbled"] <= told["lines"]
+    assert told["restored"] <= told["garbled"]
+    assert 1 <= detector.margin <= 20
