@@ -79,3 +79,21 @@ def test_levels_of_a_block_are_those_of_the_pattern(spark):
     right = {(r.r_rid, r.pattern) for r in both.where("r_name is not null").select("r_rid", linkage._pattern().alias("pattern")).collect()}
     got = {(r.rid, r.pattern) for r in linkage._by_article(mine, theirs).collect()}
     assert got and got <= right
+
+
+def test_what_is_shuffled_grows_as_the_rows_not_as_their_pairs(spark):
+    def moved() -> int:
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sum(x.totalShuffleWrite() for x in (sc.statusStore().executorList(True).apply(k) for k in range(sc.statusStore().executorList(True).size())))
+
+    got = []
+    for n in (400, 3200):  # one article, eight quantities, and as many records without it: all pairs share a key
+        items = [(i, "VELMORA 110", "Maker Ltd.", "navy", "5407478901", 100.0 + i % 8, 3.5, 350.0 + i % 8, 200.0 + i % 5, None) for i in range(n)]
+        rows = [(i, None if i % 2 else "VELMORA 110", "sand" if i % 3 else "navy", None, 100.0 + i % 8, 3.5, None, 200.0 + i % 5, None, False, "x") for i in range(n)]
+        before, kept = moved(), spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+        links = linkage.link(linkage.row_records(spark.createDataFrame(rows, ROW)), linkage.item_records(spark.createDataFrame(items, ITEM)))
+        assert len({r.rid for r in links.collect()}) == links.count()
+        got.append(moved() - before)
+        assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == kept
+    assert got[1] < 12 * got[0]
