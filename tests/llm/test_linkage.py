@@ -97,3 +97,27 @@ def test_what_is_shuffled_grows_as_the_rows_not_as_their_pairs(spark):
         got.append(moved() - before)
         assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == kept
     assert got[1] < 12 * got[0]
+
+
+def test_pairs_left_out_neither_count_nor_match(spark):
+    rng = random.Random(9)
+    fig = lambda top: rng.choice([None, round(rng.uniform(0.1, top), 2), 50.0, 50.4, 50.9, 10.0])
+    colour = lambda: rng.choice([None, "navy", "sand", "plum"])
+    items = [(i, "NORVIK 210", rng.choice([None, "Alfa Tekstil Ltd", "Beta"]), colour(), rng.choice([None, "5407478901"]), fig(300), fig(9), fig(900), rng.choice([None, 31.0, 32.0, 31.4996]), rng.choice([None, 35.0, 36.0])) for i in range(250)]
+    rows = [(i, rng.choice(["NORVIK 210", "NORVIK 21"]), colour(), rng.choice([None, "540747"]), fig(300), fig(9), fig(900), rng.choice([None, 31.0, 32.0]), rng.choice([None, 35.0, 36.0]), False, "x") for i in range(250)]
+    mine, theirs = linkage.row_records(spark.createDataFrame(rows, ROW)), linkage.item_records(spark.createDataFrame(items, ITEM))
+    blobs = [b for part, b in linkage._gathered(mine, theirs, 1).mapPartitions(lambda x: linkage._onward(x, 1, (10**6, 10**6), False)).collect() if part >= 0]
+
+    def listed(only):
+        return {(int(a), int(b)): (int(x), int(y)) for r, i, p, q, pattern, n in linkage._second_pairs(blobs, (10**6, 10**6), only) for a, b, x, y in zip(r.rid[p], i.rid[q], pattern, n)}
+
+    full, counted = listed(None), listed(True)
+    assert {k: v for k, v in full.items() if v[1]} == {k: v for k, v in counted.items() if v[1]} and len(counted) < len(full)
+    patterns = linkage.np.arange(linkage.PATTERNS)
+    for weak in (-9.0, -3.0, 0.0):
+        m = [linkage.np.array([0.0, *[2.0 ** (weak if lv < n - 1 else 1) for lv in range(1, n)]]) for n in linkage.FIELDS.values()]
+        u = [linkage.np.ones(n) for n in linkage.FIELDS.values()]
+        odds = linkage.posteriors(patterns, 0.4, m, u)
+        judged = listed(linkage.Model(0.4, m, u, 0.5))
+        assert {k: v for k, v in full.items() if odds[v[0]] >= 0} == {k: v for k, v in judged.items() if odds[v[0]] >= 0}
+    assert len(listed(linkage.Model(0.4, m, [x * 2.0**40 for x in u], 0.5))) < len(full)
