@@ -121,3 +121,15 @@ def test_pairs_left_out_neither_count_nor_match(spark):
         judged = listed(linkage.Model(0.4, m, u, 0.5))
         assert {k: v for k, v in full.items() if odds[v[0]] >= 0} == {k: v for k, v in judged.items() if odds[v[0]] >= 0}
     assert len(listed(linkage.Model(0.4, m, [x * 2.0**40 for x in u], 0.5))) < len(full)
+
+
+def test_copies_of_rows_are_one_in_a_task(spark):
+    items = [(i + 1000 * k, "NORVIK 210", "Beta", "navy", None, 100.0 + i, 7.5, 750.0 + i, 80.0 + i % 3, None) for i in range(20) for k in range(3)]
+    rows = [(i + 1000 * k, "NORVIK 210" if i % 2 else "NORWIK 210", "navy", None, 100.0 + i, 7.5, None, 80.0 + i % 3, None, False, "x") for i in range(20) for k in range(4)]
+    mine, theirs = linkage.row_records(spark.createDataFrame(rows, ROW)), linkage.item_records(spark.createDataFrame(items, ITEM))
+    table = linkage._unpacked([b for _, b in linkage._gathered(mine, theirs, 1).collect()])
+    r, i, _, _ = linkage._sides(table)
+    assert (r.n, i.n, set(r.ids), set(i.ids), sum(r.times), sum(i.times)) == (20, 20, {4}, {3}, 80, 60)
+    got = {x.rid: x.item_id for x in linkage.link(mine, theirs).collect()}
+    assert len(got) == 80 and all(got[j + 1000 * k] == got[j] < 20 for j in range(20) for k in range(4))
+    assert all(got[j] == j for j in range(1, 20, 2))
